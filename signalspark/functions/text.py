@@ -18,10 +18,15 @@ DEFAULT_KEYWORDS: dict[str, tuple[str, ...]] = {
 NEGATIVE, NEUTRAL, POSITIVE = "negative", "neutral", "positive"
 
 
+# The characters that count as whitespace.
+WHITESPACE = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+
+
 def clean_text(text: Column | str) -> Column:
     """Missing text becomes '', runs of whitespace one blank, ends trimmed."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " "))
 
 
 def combined_text(headline: Column | str, description: Column | str) -> Column:
