@@ -111,6 +111,22 @@ def prepare_features(df: DataFrame, kind: str | None = "flat", keys: Sequence[st
     return fill_features(out, keys, strict_parity)
 
 
+def technical_table(market: DataFrame, keys: Sequence[str] = TICKER) -> DataFrame:
+    """Market days with filled technical indicators; the same for every variant and sweep."""
+    return fill_features(add_all_indicators(market, keys), keys)
+
+
+def with_sentiment(technical: DataFrame, daily: DataFrame, kind: str,
+                   keys: Sequence[str] = TICKER, strict_parity: bool = False) -> DataFrame:
+    """Feature table of a variant from the technical table and its daily sentiment.
+
+    Filling works column by column, so the result equals ``prepare_features`` on
+    the merged table.
+    """
+    merged = merge_sentiment(technical, daily, [*keys, "Date"])
+    return fill_features(add_sentiment_features(merged, kind, keys), keys, strict_parity)
+
+
 def feature_names(columns: Sequence[str], include_sentiment: bool = True) -> list[str]:
     """Columns a model may use, in table order."""
     names = [c for c in columns if c not in NOT_FEATURES | NOT_FEATURES_HERE]

@@ -78,16 +78,18 @@ def _partial_sums(states: dict[str, Row]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            x = x.reshape(batch.num_rows, -1)
+            x = batch.column("x")
             y = batch.column("y").to_numpy(zero_copy_only=False)
             coded = batch.column("model").dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False)
             for code, model in enumerate(coded.dictionary.to_pylist()):
                 if model in finished:
                     continue
+                # models may differ in their number of features, rows of one model do not
                 mine = codes == code
-                design = np.column_stack([x[mine], np.ones(mine.sum())])
+                values = x.filter(pa.array(mine)).flatten().to_numpy(zero_copy_only=False)
+                values = values.reshape(int(mine.sum()), -1)
+                design = np.column_stack([values, np.ones(len(values))])
                 stats = _loss_sums(design, y[mine], betas.get(model))
                 totals[model] = totals[model] + stats if model in totals else stats
                 counts[model] = counts.get(model, 0) + design.shape[0]

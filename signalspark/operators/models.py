@@ -37,31 +37,40 @@ def logistic_regression(n_train: int, c: float = 1.0) -> LogisticRegression:
 
 
 def fold_rows(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),
-              keys: Sequence[str] = (), name: str = "fold_rows") -> DataFrame:
-    """Written training table: complete rows, assigned to folds, scaled per fold, assembled."""
-    matrix = model_matrix(df, features)
-    days = fold_days(matrix, params)
+              keys: Sequence[str] = (), variant: str = "baseline") -> DataFrame:
+    """Written training table: complete rows, assigned to folds, scaled per fold, assembled.
+
+    The complete rows are written first, because the fold days, the training
+    statistics and the scaled rows all read them. ``model`` is unique per
+    variant, key and fold, so the tables of several variants can be united.
+    """
+    kept = [*keys, "Ticker", "Date", "Target", "fwd_return", *features]
+    matrix = materialize(model_matrix(df, features).select(*kept), "matrix")
     by = [*keys, "fold"]
-    scaled = standardize(assign_folds(matrix, days), features, by)
-    kept = scaled.select(*by, "role", "Ticker", "Date", "Target", "fwd_return", *features)
-    return materialize(assemble(kept, features, by), name)
+    scaled = standardize(assign_folds(matrix, fold_days(matrix, params)), features, by)
+    named = scaled.withColumn("variant", F.lit(variant))
+    return materialize(assemble(named, features, ["variant", *by]), "fold_rows")
 
 
-def predictions_of(scored: DataFrame, keys: Sequence[str], variant: str, model: str) -> DataFrame:
+def predictions_of(scored: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     """Rows of the predictions table."""
     return scored.select(
-        F.lit(variant).alias("variant"), F.lit(model).alias("model_type"), *keys, "Ticker", "Date",
+        "variant", F.lit(model).alias("model_type"), *keys, "Ticker", "Date",
         F.col("Target").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "proba",
         "fwd_return")
 
 
+def cv_logistic_rows(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Out-of-fold predictions of logistic regression for every model of a training table."""
+    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
+    scored = predict_logistic(rows.filter(F.col("role") == TEST), fitted)
+    return predictions_of(scored, [*keys, "fold"], "logistic_regression")
+
+
 def cv_logistic(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),
                 keys: Sequence[str] = (), variant: str = "baseline") -> DataFrame:
     """Out-of-fold predictions of logistic regression, all folds and keys fitted together."""
-    rows = fold_rows(df, features, params, keys)
-    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
-    scored = predict_logistic(rows.filter(F.col("role") == TEST), fitted)
-    return predictions_of(scored, [*keys, "fold"], variant, "logistic_regression")
+    return cv_logistic_rows(fold_rows(df, features, params, keys, variant), keys)
 
 
 def fit_per_fold(rows: DataFrame, make_estimator: Callable[[int], Estimator],
@@ -94,13 +103,19 @@ def predict_per_fold(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def cv_estimator_rows(rows: DataFrame, make_estimator: Callable[[int], Estimator], model: str,
+                      keys: Sequence[str] = ()) -> DataFrame:
+    """Out-of-fold predictions of an MLlib classifier for every model of a training table."""
+    scored = predict_per_fold(rows, fit_per_fold(rows, make_estimator))
+    return predictions_of(scored, [*keys, "fold"], model)
+
+
 def cv_estimator(df: DataFrame, features: Sequence[str], make_estimator: Callable[[int], Estimator],
                  params: FoldParams = FoldParams(), keys: Sequence[str] = (),
                  variant: str = "baseline", model: str = "custom") -> DataFrame:
     """Out-of-fold predictions of any MLlib classifier (``make_estimator(n_train)``)."""
-    rows = fold_rows(df, features, params, keys)
-    scored = predict_per_fold(rows, fit_per_fold(rows, make_estimator))
-    return predictions_of(scored, [*keys, "fold"], variant, model)
+    return cv_estimator_rows(fold_rows(df, features, params, keys, variant), make_estimator,
+                             model, keys)
 
 
 def cv_boosted(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),

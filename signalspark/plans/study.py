@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +14,21 @@ from signalspark.functions.text import tag_entity
 from signalspark.operators.align import align_news
 from signalspark.operators.daily import apply_decay, daily_sentiment, with_normalized_time
 from signalspark.operators.features import (
-    add_target, feature_names, merge_sentiment, prepare_features)
+    add_target, feature_names, technical_table, with_sentiment)
 from signalspark.operators.metrics import compare
-from signalspark.operators.models import cv_boosted, cv_logistic
-from signalspark.params import FoldParams, StudyParams
+from signalspark.operators.models import (
+    boosted_trees, cv_estimator_rows, cv_logistic_rows, fold_rows)
+from signalspark.params import StudyParams
 from signalspark.plans import report as rep
 from signalspark.plans import sweep as sw
 from signalspark.sources.news import dedupe_news
 from signalspark.storage import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
-# Models by name: (features table, features, folds, variant) -> predictions.
-MODELS: dict[str, Callable[..., DataFrame]] = {
-    "logistic_regression": cv_logistic, "boosted_trees": cv_boosted}
+# Models by name: training table to predictions. Add an entry for a model of your own.
+MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "logistic_regression": cv_logistic_rows,
+    "boosted_trees": lambda rows: cv_estimator_rows(rows, boosted_trees, "boosted_trees")}
 VARIANTS = {"baseline": None, "flat_sentiment": "flat", "decay_sentiment": "decay"}
 
 
@@ -39,13 +42,14 @@ class Study:
     def prepare(self, bars: DataFrame, news: DataFrame,
                 keywords: Mapping[str, Sequence[str]] | None = None,
                 match: str = "substring") -> "Study":
-        """Bars with target; news deduplicated, tagged (if untagged) and aligned."""
+        """Bars with target and technical features; news deduplicated, tagged (if untagged) and aligned."""
         bars = materialize(bars, "bars")
         clean = dedupe_news(news)
         if "Ticker" not in news.columns:
             tag: Column = tag_entity("Headlines", "Description", keywords, match)
             clean = clean.withColumn("Ticker", tag).filter(F.col("Ticker").isNotNull())
-        self.tables |= {"bars": bars, "market": materialize(add_target(bars), "market"),
+        technical = technical_table(add_target(bars))
+        self.tables |= {"bars": bars, "technical": materialize(technical, "technical"),
                         "aligned": align_news(clean, bars)}
         return self
 
@@ -62,7 +66,7 @@ class Study:
         """All decay configurations; the best one becomes the decay of the study."""
         p = self.params
         daily = sw.sweep_daily(self.tables["scored"], p.sweep)
-        predictions = materialize(sw.sweep_predictions(self.tables["market"], daily, p.sweep, p.folds),
+        predictions = materialize(sw.sweep_predictions(self.tables["technical"], daily, p.sweep, p.folds),
                                   "sweep_predictions")
         metrics = materialize(sw.sweep_metrics(predictions, p.sweep, p.trading), "sweep_metrics")
         curve = sw.sweep_curve(metrics, p.metric)
@@ -75,29 +79,29 @@ class Study:
         return self
 
     def features(self, variant: str) -> DataFrame:
-        """Written feature table of one variant."""
-        name = f"features_{variant}"
-        if name not in self.tables:
-            self.tables[name] = materialize(self._features(variant), name)
-        return self.tables[name]
-
-    def _features(self, variant: str) -> DataFrame:
-        market, kind = self.tables["market"], VARIANTS[variant]
+        """Feature table of one variant."""
+        technical, kind = self.tables["technical"], VARIANTS[variant]
         if kind is None:
-            return prepare_features(market, None)
+            return technical
         daily = self.tables["daily"] if kind == "flat" else apply_decay(
             self.tables["scored"], self.params.decay_type, self.params.decay_value)
-        return prepare_features(merge_sentiment(market, daily), kind)
+        return with_sentiment(technical, daily, kind)
 
     def train(self, variants: Sequence[str] = tuple(VARIANTS),
               models: Sequence[str] = ("logistic_regression",)) -> "Study":
-        """Out-of-fold predictions of every variant and model in one table."""
-        parts = [train_variant(self.features(v), v, m, self.params.folds)
-                 for v in variants for m in models]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        self.tables["predictions"] = materialize(out, "predictions")
+        """Out-of-fold predictions of every variant and model in one table.
+
+        The baseline sees technical features only. The training tables of all
+        variants are united, so that one run of a model covers all of them.
+        """
+        parts = []
+        for v in variants:
+            table = self.features(v)
+            names = feature_names(table.columns, VARIANTS[v] is not None)
+            parts.append(fold_rows(table, names, self.params.folds, variant=v))
+        rows = reduce(DataFrame.unionByName, parts)
+        predictions = reduce(DataFrame.unionByName, [MODELS[m](rows) for m in models])
+        self.tables["predictions"] = materialize(predictions, "predictions")
         return self
 
     def evaluate(self) -> "Study":
@@ -116,10 +120,3 @@ class Study:
             tables["histogram"] = rep.score_histogram(self.tables["scored"])
             tables["boxplot"] = rep.score_boxplot(self.tables["scored"])
         return rep.write_report(tables, folder, fmt=fmt)
-
-
-def train_variant(features: DataFrame, variant: str, model: str = "logistic_regression",
-                  folds: FoldParams = FoldParams()) -> DataFrame:
-    """Predictions of one variant; the baseline sees technical features only."""
-    names = feature_names(features.columns, VARIANTS[variant] is not None)
-    return MODELS[model](features, names, folds, variant=variant)

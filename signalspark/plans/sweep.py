@@ -18,11 +18,8 @@ from signalspark.operators.daily import (
     KEYS, SCORE, TIME_01, weighted_moments, with_normalized_time)
 from signalspark.operators.features import (
     TICKER, add_sentiment_features, feature_names, fill_features)
-from signalspark.operators.folds import TEST, TRAIN, fold_days
-from signalspark.operators.indicators import add_all_indicators
-from signalspark.operators.logistic import fit_logistic, predict_logistic
 from signalspark.operators.metrics import compare
-from signalspark.operators.models import fold_rows, predictions_of
+from signalspark.operators.models import cv_logistic
 from signalspark.operators.recurrence import decaying_sum
 from signalspark.params import FoldParams, SweepParams, TradingParams
 
@@ -98,24 +95,23 @@ def sweep_market(market: DataFrame, daily: DataFrame, params: SweepParams = Swee
     return _with_configs(market, entries).join(daily, ["config_id", *keys], "left")
 
 
-def sweep_feature_table(market: DataFrame, daily: DataFrame,
+def sweep_feature_table(technical: DataFrame, daily: DataFrame,
                         params: SweepParams = SweepParams()) -> DataFrame:
-    """Model features of all configurations; the technical ones are computed once."""
-    technical = fill_features(add_all_indicators(market))
+    """Model features of all configurations from the shared technical table."""
     merged = sweep_market(technical, daily, params)
     by = ("config_id", *TICKER)
     return fill_features(add_sentiment_features(merged, "decay", by), by)
 
 
-def sweep_predictions(market: DataFrame, daily: DataFrame, params: SweepParams = SweepParams(),
+def sweep_predictions(technical: DataFrame, daily: DataFrame, params: SweepParams = SweepParams(),
                       folds: FoldParams = FoldParams()) -> DataFrame:
-    """Out-of-fold predictions of every configuration, fitted together."""
-    table = sweep_feature_table(market, daily, params)
+    """Out-of-fold predictions of every configuration, fitted together.
+
+    ``technical`` is the written table of technical features with target.
+    """
+    table = sweep_feature_table(technical, daily, params)
     features = feature_names(table.columns)
-    rows = fold_rows(table, features, folds, ["config_id"], "sweep_rows")
-    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
-    scored = predict_logistic(rows.filter(F.col("role") == TEST), fitted)
-    return predictions_of(scored, ["config_id", "fold"], "decay_sentiment", "logistic_regression")
+    return cv_logistic(table, features, folds, ["config_id"], "decay_sentiment")
 
 
 def sweep_metrics(predictions: DataFrame, params: SweepParams = SweepParams(),

@@ -348,7 +348,8 @@ def best_config(s: SparkSession, d: str) -> DataFrame:
 
 def _sweep_metrics(s: SparkSession, d: str) -> DataFrame:
     market, daily = _sweep_tables(s, d)
-    predictions = sweep.sweep_predictions(materialize(market, "market"), daily)
+    technical = materialize(feat.technical_table(market), "technical")
+    predictions = sweep.sweep_predictions(technical, daily)
     return sweep.sweep_metrics(materialize(predictions, "sweep_predictions"))
 
 
@@ -446,7 +447,7 @@ def sampled_shapley(s: SparkSession, d: str) -> DataFrame:
     """Shapley values of the first fold's boosted trees on sampled test rows."""
     rows = mod.fold_rows(_technical_rows(s, d), FEATURES)
     first = rows.filter(F.col("fold") == 0)
-    model = mod.fit_per_fold(first, lambda n: mod.boosted_trees(n, maxIter=20))["0"]
+    model = mod.fit_per_fold(first, lambda n: mod.boosted_trees(n, maxIter=20))["baseline|0"]
     picked = {r: attribution.sample_rows(first.filter(F.col("role") == r), 100, ["Ticker", "Date"])
               for r in (TRAIN, TEST)}
     return rounded(attribution.sampled_shapley(model, picked[TEST], picked[TRAIN], FEATURES))
