@@ -16,17 +16,17 @@ from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, st
 from signalspark.operators.features import model_matrix
 from signalspark.operators.logistic import assemble, fit_logistic, predict_logistic
 from signalspark.params import FoldParams
-from signalspark.storage import materialize
+from signalspark.storage import materialize, work_dir
 
 # Settings of the boosted trees and the logistic regression.
 TREES, DEPTH, RATE, SEED, LOGISTIC_ITERATIONS = 100, 5, 0.1, 42, 1000
-PARALLEL_FITS = 8
+PARALLEL_FITS = 10
 
 
 def boosted_trees(n_train: int = 0, **overrides) -> GBTClassifier:
     """Gradient-boosted trees on ``features`` and ``label``."""
     settings = dict(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=SEED,
-                    checkpointInterval=-1)
+                    checkpointInterval=10)
     return GBTClassifier(**(settings | overrides))
 
 
@@ -79,7 +79,11 @@ def fit_per_fold(rows: DataFrame, make_estimator: Callable[[int], Estimator],
 
     The models are independent jobs submitted from a few driver threads, as
     MLlib's own cross-validator does; each fit is distributed over its rows.
+    Boosting cuts its lineage every few trees in the shared checkpoint folder.
     """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(rows.sparkSession))
     train = rows.filter(F.col("role") == TRAIN)
     sizes = {r["model"]: r["count"] for r in train.groupBy("model").count().collect()}
     vectors = train.select("model", F.col("y").alias("label"), array_to_vector("x").alias("features"))
