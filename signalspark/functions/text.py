@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ DEFAULT_KEYWORDS: dict[str, tuple[str, ...]] = {
 NEGATIVE, NEUTRAL, POSITIVE = "negative", "neutral", "positive"
 
 
-# The characters that count as whitespace.
-WHITESPACE = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+# The characters that count as whitespace. Those above Latin-1 sit
+# behind a range check, which almost every character of a text fails at once.
+WHITESPACE = (r"[\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0"
+              r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+              r"\x{205f}\x{3000}]]]+")
 
 
 def clean_text(text: Column | str) -> Column:
@@ -49,37 +53,40 @@ def tag_entity(headline: Column | str, description: Column | str | None = None,
     text = F.upper(F.concat_ws(" ", *parts))
     tag = None
     for entity, words in (keywords or DEFAULT_KEYWORDS).items():
-        alternatives = "|".join(re.escape(w.upper()) for w in words)
-        pattern = alternatives if match == "substring" else (
-            rf"(^|[^\p{{L}}\p{{N}}])({alternatives})([^\p{{L}}\p{{N}}]|$)")
-        hit = text.rlike(pattern)
+        words = [w.upper() for w in words]
+        # a plain substring search is much cheaper than a pattern, so it goes first
+        hit = reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+        if match == "word":
+            alternatives = "|".join(re.escape(w) for w in words)
+            hit = hit & text.rlike(rf"(^|[^\p{{L}}\p{{N}}])({alternatives})([^\p{{L}}\p{{N}}]|$)")
         tag = F.when(hit, F.lit(entity)) if tag is None else tag.when(hit, F.lit(entity))
     return tag
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-case words (maximal runs of letters) as an array."""
+def lexicon_shares(text: Column | str, positive: Iterable[str], negative: Iterable[str]) -> Column:
+    """Struct (negative, neutral, positive) of class shares of the words.
+
+    Words are maximal runs of letters in lower case. Each share is (words of the
+    class + 1) / (words + 3), so they sum to 1 and a text without known words is
+    near neutral. The word lists are literals and one fold over the words of the
+    row counts all classes: no shuffle, and the text is split once.
+    """
     text = F.col(text) if isinstance(text, str) else text
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    return F.filter(parts, lambda w: w != "")
+    good, bad = sorted(positive), sorted(negative)
 
+    def count(acc: Column, w: Column) -> Column:
+        return F.struct((acc["p"] + w.isin(*good).cast("int")).alias("p"),
+                        (acc["n"] + w.isin(*bad).cast("int")).alias("n"),
+                        (acc["all"] + (w != "").cast("int")).alias("all"))
 
-def lexicon_shares(text: Column | str, positive: Iterable[str], negative: Iterable[str]) -> Column:
-    """Struct (negative, neutral, positive) of class shares of the words.
+    def shares(acc: Column) -> Column:
+        hits = {NEGATIVE: acc["n"], NEUTRAL: acc["all"] - acc["p"] - acc["n"], POSITIVE: acc["p"]}
+        return F.struct(*[((h + F.lit(1.0)) / (acc["all"] + F.lit(3.0))).alias(c)
+                          for c, h in hits.items()])
 
-    Each share is (words of the class + 1) / (words + 3), so they sum to 1 and a
-    text without known words is near neutral. No shuffle: the word lists are
-    literals and the count runs inside the row.
-    """
-    words = tokens(text)
-    total = F.size(words)
-    hits = {
-        POSITIVE: F.size(F.filter(words, lambda w: w.isin(*sorted(positive)))),
-        NEGATIVE: F.size(F.filter(words, lambda w: w.isin(*sorted(negative)))),
-    }
-    hits[NEUTRAL] = total - hits[POSITIVE] - hits[NEGATIVE]
-    return F.struct(*[((hits[c] + F.lit(1.0)) / (total + F.lit(3.0))).alias(c)
-                      for c in (NEGATIVE, NEUTRAL, POSITIVE)])
+    start = F.struct(*[F.lit(0).alias(k) for k in ("p", "n", "all")])
+    return F.aggregate(parts, start, count, shares)
 
 
 def score_from_probs(positive: Column | str, negative: Column | str) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalspark.operators.joins import MAX_BROADCAST_ROWS, lookup_join
+from signalspark.operators.joins import lookup_join
 from signalspark.storage import materialize
 
 
@@ -31,27 +31,26 @@ def roll_map(bars: DataFrame) -> DataFrame:
 
 
 def align_news(news: DataFrame, bars: DataFrame, roll: str = "forward",
-               salt_by: Sequence[str] = ("Time",),
-               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+               salt_by: Sequence[str] = ("Time",), **join_limits: float) -> DataFrame:
     """News with the bar of its trading day.
 
     ``roll="forward"``: a headline belongs to its own day if that is a trading
     day of its ticker, else to the next one; news after the last bar is dropped.
     ``roll="exact"``: news on a day without a bar is dropped. ``rolled`` tells
-    whether the day was changed.
+    whether the day was changed. ``salt_by`` and ``join_limits`` go to ``lookup_join``.
     """
     if roll == "exact":
         on_day = news.withColumn("Date", F.to_date("Time"))
         joined = lookup_join(on_day, bars, ["Ticker", "Date"], "inner", salt_by,
-                             max_broadcast_rows)
+                             **join_limits)
         return joined.withColumn("rolled", F.lit(False))
     if roll != "forward":
         raise ValueError(f"Unknown roll: {roll}")
     days = materialize(roll_map(bars), "roll_map")
-    first = days.groupBy("Ticker").agg(F.min("first_day").alias("first_day"))
+    first = days.filter(F.col("Date") == F.col("first_day")).select("Ticker", "first_day")
     own = news.withColumn("_own", F.to_date("Time"))
-    clamped = (lookup_join(own, first, ["Ticker"], "inner", salt_by, max_broadcast_rows)
+    clamped = (lookup_join(own, first, ["Ticker"], "inner", salt_by, **join_limits)
                .withColumn("cal_date", F.greatest("_own", "first_day")).drop("first_day"))
     joined = lookup_join(clamped, days.drop("first_day"), ["Ticker", "cal_date"], "inner",
-                         salt_by, max_broadcast_rows)
+                         salt_by, **join_limits)
     return joined.withColumn("rolled", F.col("Date") != F.col("_own")).drop("cal_date", "_own")

@@ -16,11 +16,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+PARTIAL = "model string, part int, n bigint, stats array<double>"
 STATE = "model string, n bigint, beta array<double>, previous array<double>, loss double, done boolean"
+# Partial rows of one model that one task adds up; each holds the square of the features.
+FAN_IN = 256
 
 
 def assemble(rows: DataFrame, features: Sequence[str], keys: Sequence[str],
@@ -33,18 +37,22 @@ def assemble(rows: DataFrame, features: Sequence[str], keys: Sequence[str],
         "y": F.col(label).cast("double")}).drop(*features)
 
 
-def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 50,
-                 tol: float = 1e-9) -> DataFrame:
+def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 50, tol: float = 1e-9,
+                 fan_in: int = FAN_IN) -> DataFrame:
     """Coefficients ``(model, intercept, coef, n_train)`` of every model in ``train``.
 
     Minimises ``c * sum(log loss) + |coef|^2 / 2``; the intercept is not
     penalised. ``train`` holds ``model, x, y`` and is read once per step, so pass
-    a written table.
+    a written table. With more than ``fan_in`` partitions the partial sums are
+    added in two levels.
     """
     rows = train.select("model", "x", "y")
+    wide = rows.rdd.getNumPartitions() > fan_in
     states: dict[str, Row] = {}
     for _ in range(max_iter):
-        sums = rows.mapInArrow(_partial_sums(states), "model string, n bigint, stats array<double>")
+        sums = rows.mapInArrow(_partial_sums(states, fan_in), PARTIAL)
+        if wide:
+            sums = sums.groupBy("model", "part").applyInPandas(_add_up, PARTIAL)
         stepped = sums.groupBy("model").applyInPandas(_newton_step(states, c, tol), STATE).collect()
         states |= {r.model: r for r in stepped}
         if all(r.done for r in states.values()):
@@ -67,7 +75,7 @@ def predict_logistic(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
         "y_pred": (F.col("_z") > 0).cast("int")}).drop("_z", "coef", "intercept")
 
 
-def _partial_sums(states: dict[str, Row]):
+def _partial_sums(states: dict[str, Row], fan_in: int):
     """Arrow mapper: one row of sums per unfinished model present in the partition."""
     betas = {m: np.asarray(r.beta) for m, r in states.items() if not r.done}
     finished = frozenset(m for m, r in states.items() if r.done)
@@ -95,14 +103,23 @@ def _partial_sums(states: dict[str, Row]):
                 counts[model] = counts.get(model, 0) + design.shape[0]
         if totals:
             names = list(totals)
+            part = TaskContext.get().partitionId() % fan_in
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([counts[m] for m in names], pa.int64()),
+                [pa.array(names, pa.string()), pa.array([part] * len(names), pa.int32()),
+                 pa.array([counts[m] for m in names], pa.int64()),
                  pa.array([totals[m] for m in names], pa.list_(pa.float64()))],
-                names=["model", "n", "stats"])
+                names=["model", "part", "n", "stats"])
 
     return run
 
 
+def _add_up(parts: pd.DataFrame) -> pd.DataFrame:
+    """First level of the sum: the partial rows of one model from some of the partitions."""
+    stats = np.sum(np.vstack(parts["stats"].to_numpy()), axis=0)
+    return pd.DataFrame({"model": [parts["model"].iloc[0]], "part": [int(parts["part"].iloc[0])],
+                         "n": [int(parts["n"].sum())], "stats": [stats]})
+
+
 def _loss_sums(design: np.ndarray, y: np.ndarray, beta: np.ndarray | None) -> np.ndarray:
     """Log loss, its gradient and its curvature over some rows, as one vector."""
     z = design @ (np.zeros(design.shape[1]) if beta is None else beta)
@@ -113,7 +130,7 @@ def _loss_sums(design: np.ndarray, y: np.ndarray, beta: np.ndarray | None) -> np
 
 
 def _newton_step(states: dict[str, Row], c: float, tol: float):
-    """Grouped step of one model: its partial rows (one per map partition) to new coefficients."""
+    """Grouped step of one model: its partial rows (``fan_in`` at most) to new coefficients."""
     known = {m: (np.asarray(r.beta), np.asarray(r.previous), r.loss) for m, r in states.items()}
 
     def run(parts: pd.DataFrame) -> pd.DataFrame:

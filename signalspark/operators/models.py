@@ -49,7 +49,9 @@ def fold_rows(df: DataFrame, features: Sequence[str], params: FoldParams = FoldP
     by = [*keys, "fold"]
     scaled = standardize(assign_folds(matrix, fold_days(matrix, params)), features, by)
     named = scaled.withColumn("variant", F.lit(variant))
-    return materialize(assemble(named, features, ["variant", *by]), "fold_rows")
+    rows = assemble(named, features, ["variant", *by])
+    # rows of one model side by side: the fit then meets few models per Arrow batch
+    return materialize(rows.sortWithinPartitions("model"), "fold_rows")
 
 
 def predictions_of(scored: DataFrame, keys: Sequence[str], model: str) -> DataFrame:

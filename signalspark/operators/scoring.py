@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from signalspark.functions.text import (
     NEGATIVE, NEUTRAL, POSITIVE, combined_text, lexicon_shares, score_from_probs, text_key)
-from signalspark.operators.joins import MAX_BROADCAST_ROWS, lookup_join
+from signalspark.operators.joins import lookup_join
 from signalspark.storage import materialize
 
 # Class columns of scored text, and texts per model call.
@@ -61,8 +61,8 @@ def score_distinct(texts: DataFrame, make_predict_fn: Callable, labels: Sequence
 
 
 def score_texts(news: DataFrame, make_predict_fn: Callable, labels: Sequence[str] = CLASSES,
-                batch_size: int = BATCH_SIZE, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                salt_by: Sequence[str] = ("Time", "Headlines")) -> DataFrame:
+                batch_size: int = BATCH_SIZE, salt_by: Sequence[str] = ("Time", "Headlines"),
+                **join_limits: float) -> DataFrame:
     """News with class columns and score; each distinct text is scored once.
 
     The scores are written before the join, so a lost executor does not run the
@@ -71,7 +71,7 @@ def score_texts(news: DataFrame, make_predict_fn: Callable, labels: Sequence[str
     texted = with_text(news)
     scored = score_distinct(distinct_texts(texted), make_predict_fn, labels, batch_size=batch_size)
     scores = materialize(scored.drop("combined_text"), "scores")
-    return (lookup_join(texted, scores, ["text_key"], "inner", salt_by, max_broadcast_rows)
+    return (lookup_join(texted, scores, ["text_key"], "inner", salt_by, **join_limits)
             .drop("combined_text", "text_key"))
 
 
@@ -120,8 +120,8 @@ def append_scores(todo: DataFrame, make_predict_fn: Callable, path: str, version
 
 def score_with_store(news: DataFrame, make_predict_fn: Callable, path: str, version: str,
                      labels: Sequence[str] = CLASSES, force_refresh: bool = False,
-                     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                     salt_by: Sequence[str] = ("Time", "Headlines")) -> DataFrame:
+                     salt_by: Sequence[str] = ("Time", "Headlines"),
+                     **join_limits: float) -> DataFrame:
     """Score what the store lacks, append it, and join all scores to the news.
 
     ``force_refresh`` scores every text again and prefers the new scores.
@@ -135,7 +135,7 @@ def score_with_store(news: DataFrame, make_predict_fn: Callable, path: str, vers
     append_scores(todo, make_predict_fn, path, version, labels, replace=force_refresh)
     scores = read_scores(spark, path).filter(F.col("model_version") == version)
     scores = scores.drop("model_version").dropDuplicates(["text_key"])
-    return (lookup_join(texted, scores, ["text_key"], "inner", salt_by, max_broadcast_rows)
+    return (lookup_join(texted, scores, ["text_key"], "inner", salt_by, **join_limits)
             .drop("combined_text", "text_key"))
 
 

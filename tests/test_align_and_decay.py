@@ -10,6 +10,7 @@ from signalspark.functions.decay import ExponentialDecay, HalfLifeDecay, LinearD
 from signalspark.operators.align import align_news
 from signalspark.operators.daily import (
     apply_decay, daily_sentiment, decay_daily, half_life_memory, weighted_variance)
+from signalspark.operators.joins import hot_keys, lookup_join
 from signalspark.operators.recurrence import decaying_sum
 from signalspark.params import SweepParams
 from signalspark.plans.sweep import sweep_daily
@@ -35,8 +36,9 @@ def test_forward_roll_equals_brute_force_on_both_join_paths(spark):
         later = [d for x, d in days if x == t and d >= at.date()]
         if later:
             want[i] = min(later)
-    for limit in (1000, 0):
-        out = align_news(news, bars, salt_by=["id"], max_broadcast_rows=limit).collect()
+    for limits in ({}, {"max_broadcast_rows": 0},
+                   {"max_broadcast_rows": 0, "sample_fraction": 1.0, "hot_share": 0.01, "salts": 5}):
+        out = align_news(news, bars, salt_by=["id"], **limits).collect()
         assert {r.id: r.Date for r in out} == want and len(out) == len(want)
         assert all(r.rolled == (r.Date != r.Time.date()) and r.Date >= r.Time.date() for r in out)
     exact = align_news(news, bars, roll="exact", salt_by=["id"]).collect()
@@ -51,7 +53,20 @@ def test_small_lookup_is_broadcast_and_large_one_is_salted(spark):
     small = align_news(news, bars)._jdf.queryExecution().toString()
     large = align_news(news, bars, max_broadcast_rows=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHashJoin" in small and "Cartesian" not in small
-    assert "_salt" in large and "broadcast" not in large
+    assert "_salt" in large and "_salt" not in small
+
+
+def test_only_hot_keys_are_spread(spark):
+    rows = [("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(600)]
+    large = spark.createDataFrame(rows, "k string, i int")
+    lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(600)], "k string, v int")
+    found = hot_keys(large, ["k"], sample_fraction=1.0, hot_share=0.01)
+    assert [r.k for r in found.collect()] == ["hot"]
+    for how in ("inner", "left"):
+        out = lookup_join(large, lookup, ["k"], how, ["i"], max_broadcast_rows=0, salts=4,
+                          sample_fraction=1.0, hot_share=0.01)
+        assert sorted(map(tuple, out.collect())) == sorted(
+            (k, i, 1 if k == "hot" else i) for k, i in rows)
 
 
 def test_session_clock(spark):

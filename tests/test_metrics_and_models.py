@@ -119,6 +119,14 @@ def test_joint_fit_converges_on_separable_rows_and_mixed_sizes(spark):
     assert w + np.sum((p - y) * x) == pytest.approx(0, abs=1e-6)
 
 
+def test_sums_in_two_levels_give_the_same_fit(spark):
+    rng = np.random.default_rng(1)
+    rows = [("m", [float(v)], float(rng.random() < 1 / (1 + np.exp(-v)))) for v in rng.normal(size=200)]
+    df = spark.createDataFrame(rows, "model string, x array<double>, y double").repartition(6)
+    one, two = fit_logistic(df).first(), fit_logistic(df, fan_in=2).first()
+    assert two.coef == pytest.approx(one.coef) and two.n_train == one.n_train == 200
+
+
 def test_predictions_and_comparison(spark):
     out = mod.cv_logistic(training_rows(spark), ["a", "b"], PARAMS).cache()
     assert out.count() == 3 * 10 * 4
