@@ -22,7 +22,7 @@ NOT_FEATURES = frozenset((
     "Date", "Ticker", "Target", "Open", "High", "Low", "Close", "Volume", "Headlines", "Time",
     "Description", "Date_only", "Next_Close", "negative", "neutral", "positive",
     "sentiment_score", "decay_weight", "normalized_time", "combined_text"))
-# Ours: key columns of a sweep, the return a prediction earns, and a copy of return_10d.
+# Ours: key columns of a sweep, the return a prediction earns, and the roll flag.
 NOT_FEATURES_HERE = frozenset(("config_id", "decay_type", "param_name", "param_value",
                                "fwd_return", "rolled"))
 TICKER = ("Ticker",)

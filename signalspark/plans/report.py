@@ -57,6 +57,24 @@ def target_distribution(market: DataFrame) -> DataFrame:
     return market.groupBy("Target").agg(F.count(F.lit(1)).alias("n"))
 
 
+def score_profile(scored: DataFrame, score: str = "sentiment_score", by: str = "Ticker") -> DataFrame:
+    """Rows, scored rows, and mean and range of the score per entity."""
+    return scored.groupBy(by).agg(
+        F.count(F.lit(1)).alias("items"), F.count(score).alias("scored"), F.avg(score).alias("mean"),
+        F.min(score).alias("lowest"), F.max(score).alias("highest"))
+
+
+def sentiment_coverage(merged: DataFrame, column: str = "sent_mean", by: str = "Ticker") -> DataFrame:
+    """Market days, and days with sentiment, per entity."""
+    return merged.groupBy(by).agg(F.count(F.lit(1)).alias("days"),
+                                  F.count(column).alias("days_with_sentiment"))
+
+
+def compared_metrics(comparison: DataFrame) -> DataFrame:
+    """The headline metrics of the comparison that exist, one row per variant and model."""
+    return comparison.select("Model", "model_type", *[c for c in COMPARED if c in comparison.columns])
+
+
 def variant_names(comparison: DataFrame) -> DataFrame:
     """Add the display name of each variant."""
     pairs = [F.lit(v) for kv in VARIANT_NAMES.items() for v in kv]

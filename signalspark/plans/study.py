@@ -116,7 +116,10 @@ class Study:
         """Write the report tables."""
         tables = {n: self.tables.get(n) for n in
                   ("comparison", "grid_summary", "curve", "best_config", "findings")}
+        if "comparison" in self.tables:
+            tables["metrics"] = rep.compared_metrics(self.tables["comparison"])
         if "scored" in self.tables:
+            tables["profile"] = rep.score_profile(self.tables["scored"])
             tables["histogram"] = rep.score_histogram(self.tables["scored"])
             tables["boxplot"] = rep.score_boxplot(self.tables["scored"])
         return rep.write_report(tables, folder, fmt=fmt)

@@ -90,7 +90,7 @@ def test_small_study_end_to_end(spark, tmp_path):
     best = study.tables["best_config"].first()
     assert (study.params.decay_type, study.params.decay_value) == (best.decay_type, best.param_value)
     written = study.report(str(tmp_path / "out"))
-    assert len(written) == 7
+    assert len(written) == 9
     assert spark.read.option("header", True).csv(written[0]).count() == 3
     aligned = study.tables["aligned"]
     assert aligned.filter(F.weekday("Date") > 4).count() == 0

@@ -445,6 +445,12 @@ ORACLE_SQL: dict[str, str] = {
                   "FROM documents)",
     "target": sql(f"SELECT Ticker, Date, Target, {rnd('fwd_return')} FROM market"),
     "target_distribution": sql("SELECT Target, count(*) AS n FROM market GROUP BY Target"),
+    "score_profile": "SELECT event_type AS Ticker, count(*) AS items, count(s) AS scored, "
+                     "round(avg(s), 9) AS mean, round(min(s), 9) AS lowest, round(max(s), 9) AS highest "
+                     "FROM (SELECT *, least(value, 100e0) / 50e0 - 1e0 AS s FROM events) "
+                     "GROUP BY event_type",
+    "sentiment_coverage": sql("SELECT Ticker, count(*) AS days, count(sent_mean) AS days_with_sentiment "
+                              "FROM flat GROUP BY Ticker"),
     "normalized_time": "SELECT event_id, round(least(greatest((hour(ts) + minute(ts) / 60e0 - 95e-1) "
                        "/ 65e-1, 0e0), 1e0), 9) AS normalized_time FROM events",
     "align_forward": _aligned_sql("(SELECT min(x.Date) FROM bars x WHERE x.Ticker = n.Ticker AND "

@@ -152,6 +152,14 @@ def target_distribution(s: SparkSession, d: str) -> DataFrame:
     return report.target_distribution(feat.add_target(v.bars(s, d)))
 
 
+def score_profile(s: SparkSession, d: str) -> DataFrame:
+    return rounded(report.score_profile(v.scored_events(s, d)))
+
+
+def sentiment_coverage(s: SparkSession, d: str) -> DataFrame:
+    return report.sentiment_coverage(v.market_flat(s, d))
+
+
 def normalized_time_query(s: SparkSession, d: str) -> DataFrame:
     events = v.table(s, d, "events")
     return rounded(events.select("event_id", normalized_time("ts").alias("normalized_time")))
@@ -471,6 +479,8 @@ QUERIES: dict[str, Query] = {
     "clean_text": clean_text_query,
     "target": target,
     "target_distribution": target_distribution,
+    "score_profile": score_profile,
+    "sentiment_coverage": sentiment_coverage,
     "normalized_time": normalized_time_query,
     "align_forward": _aligned("forward"),
     "align_exact": _aligned("exact"),
