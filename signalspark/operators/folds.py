@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.operators.joins import lookup_join
 from signalspark.params import FoldParams
+from signalspark.storage import materialize
 
 TRAIN, TEST = "train", "test"
 
@@ -67,15 +69,15 @@ def fold_statistics(rows: DataFrame, features: Sequence[str], keys: Sequence[str
 def standardize(rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Scale features by the training statistics of their group; a constant feature gives 0.
 
-    One statistics row per model, joined back by broadcast: the number of models
-    is folds times configurations, set by the parameters.
+    The statistics (one row per key group) are written, and joined back by
+    broadcast only if their count allows it.
     """
-    stats = fold_statistics(rows, features, keys)
+    stats = materialize(fold_statistics(rows, features, keys), "fold_statistics")
     scaled = {}
     for c in features:
         std = F.col(f"{c}__std")
         varies = std > F.abs(f"{c}__mean") * F.lit(1e-12)
         divisor = F.when(varies, std).otherwise(F.lit(1.0))
         scaled[c] = (F.col(c) - F.col(f"{c}__mean")) / divisor
-    return (rows.join(F.broadcast(stats), list(keys)).withColumns(scaled)
+    return (lookup_join(rows, stats, keys).withColumns(scaled)
             .drop(*[f"{c}__{s}" for c in features for s in ("mean", "std")]))

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 # Enough to cover every operator family; the comparison of all queries is the driver's.
-CHECKED = ("market_bars", "news_dedup", "score_increment", "tag_entity", "clean_text",
+CHECKED = ("market_bars", "news_dedup", "score_increment", "tag_entity", "tag_dictionary", "clean_text",
            "score_lexicon", "align_forward", "decay_linear", "decay_variance", "half_life_memory",
            "technical_features", "features_flat", "features_decay", "fold_standardize",
            "rule_comparison", "drawdown", "sweep_features", "best_config", "importance_compare",
@@ -40,6 +40,8 @@ def rows_of(columns, rows):
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, sql, name):
     got = entry.queries()[name](spark, DATA)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "PythonUDF" not in plan
     want = sql.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.functions.text import clean_text, combined_text, tag_entity
+from signalspark.functions.text import DEFAULT_KEYWORDS, clean_text, combined_text, tag_entity
 from signalspark.operators import scoring
+from signalspark.operators.tagging import tag_by_dictionary
 from signalspark.streaming.scores import follow_news
 
 GOOD, BAD = ("gain", "win"), ("loss",)
@@ -24,6 +25,19 @@ def test_tags_of_known_headlines(spark):
         tag_entity("h", match="fuzzy")
 
 
+def test_dictionary_join_tags_like_the_conditions(spark):
+    rows = [(0, "Apple and Azure", None), (1, "azure, only", "x"), (2, "Machine", "pineapple"), (3, "xbox", "MAC!")]
+    df = spark.createDataFrame(rows, "id int, Headlines string, Description string")
+    pairs = [(w, t) for t, words in DEFAULT_KEYWORDS.items() for w in words]
+    dictionary = spark.createDataFrame([(w, i, t) for i, (w, t) in enumerate(pairs)],
+                                       "word string, rank int, Ticker string")
+    want = {r.id: r.t for r in df.select("id", tag_entity("Headlines", "Description", match="word")
+                                         .alias("t")).collect() if r.t}
+    for limits in ({}, {"max_broadcast_rows": 0, "sample_fraction": 1.0}):
+        got = tag_by_dictionary(df, dictionary, "id", **limits).collect()
+        assert {r.id: r.Ticker for r in got} == want == {0: "AAPL", 1: "MSFT", 3: "AAPL"}
+
+
 def test_cleaning(spark):
     rows = [(None, None, "", ""), ("  a \n\t b ", "c", "a b", "a b c"), ("x  y", " ", "x y", "x y")]
     df = spark.createDataFrame(rows, "h string, d string, one string, two string")

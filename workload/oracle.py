@@ -439,6 +439,8 @@ ORACLE_SQL: dict[str, str] = {
                        "NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))",
     "tag_entity": f"SELECT * FROM (SELECT doc_id, {_tag('substring')} AS by_substring, "
                   f"{_tag('word')} AS by_word FROM documents) WHERE by_substring IS NOT NULL",
+    "tag_dictionary": f"SELECT doc_id, t AS Ticker FROM (SELECT doc_id, {_tag('word')} AS t "
+                      "FROM documents) WHERE t IS NOT NULL",
     "clean_text": f"SELECT doc_id, md5({_clean('text')}) AS text_md5, length(c) AS combined_chars, "
                   f"sha256(c) AS text_key FROM (SELECT doc_id, text, "
                   f"{_clean(chr(40) + 'lang || chr(32) || source || chr(32) || text' + chr(41))} AS c "

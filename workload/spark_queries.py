@@ -20,6 +20,7 @@ from signalspark.operators.daily import (
 from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, standardize
 from signalspark.operators.logistic import fit_logistic
 from signalspark.operators.ordered import auc
+from signalspark.operators.tagging import tag_by_dictionary
 from signalspark.plans import report, sweep
 from signalspark.plans.study import Study
 from signalspark.sources.market import standardize_bars, trading_days, union_bars
@@ -102,6 +103,14 @@ def tag_entity_query(s: SparkSession, d: str) -> DataFrame:
     return tagged.filter(F.col("by_substring").isNotNull())
 
 
+def tag_dictionary(s: SparkSession, d: str) -> DataFrame:
+    """Tags by joining the words of the documents with a dictionary table."""
+    pairs = [(w, t) for t, words in v.KEYWORDS.items() for w in words]
+    rows = [(w, i, t) for i, (w, t) in enumerate(pairs)]
+    dictionary = s.createDataFrame(rows, "word string, rank int, Ticker string")
+    return tag_by_dictionary(v.document_news(s, d), dictionary, "doc_id").select("doc_id", "Ticker")
+
+
 def clean_text_query(s: SparkSession, d: str) -> DataFrame:
     docs = scoring.with_text(v.document_news(s, d))
     return docs.select("doc_id", F.md5(clean_text("Description")).alias("text_md5"),
@@ -251,8 +260,13 @@ def fold_standardize(s: SparkSession, d: str) -> DataFrame:
 # --- metrics over the rule predictions ---
 
 
+def _written_predictions(s: SparkSession, d: str) -> DataFrame:
+    """The rule predictions as a written table, for metrics that read them more than once."""
+    return materialize(v.rule_predictions(s, d), "rule_predictions")
+
+
 def classification_metrics(s: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.classification_metrics(v.rule_predictions(s, d), FOLD_KEYS))
+    return rounded(metrics.classification_metrics(_written_predictions(s, d), FOLD_KEYS))
 
 
 def auc_rank(s: SparkSession, d: str) -> DataFrame:
@@ -260,7 +274,7 @@ def auc_rank(s: SparkSession, d: str) -> DataFrame:
 
 
 def cv_metrics(s: SparkSession, d: str) -> DataFrame:
-    by_fold = metrics.classification_metrics(v.rule_predictions(s, d), FOLD_KEYS)
+    by_fold = metrics.classification_metrics(_written_predictions(s, d), FOLD_KEYS)
     return rounded(metrics.over_folds(by_fold, KEYS, metrics.CLASSIFICATION))
 
 
@@ -299,8 +313,7 @@ def trading_metrics_cv(s: SparkSession, d: str) -> DataFrame:
 
 def rule_comparison(s: SparkSession, d: str) -> DataFrame:
     """The comparison table of the fixed rules, with display names."""
-    predictions = materialize(v.rule_predictions(s, d), "rule_predictions")
-    return report.variant_names(metrics.compare(predictions))
+    return report.variant_names(metrics.compare(_written_predictions(s, d)))
 
 
 def key_findings(s: SparkSession, d: str) -> DataFrame:
@@ -476,6 +489,7 @@ QUERIES: dict[str, Query] = {
     "trading_calendar": trading_calendar,
     "score_increment": score_increment,
     "tag_entity": tag_entity_query,
+    "tag_dictionary": tag_dictionary,
     "clean_text": clean_text_query,
     "target": target,
     "target_distribution": target_distribution,
