@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, standardize
@@ -140,6 +140,9 @@ def coefficient_importance(coefficients: DataFrame, features: Sequence[str]) ->
                     F.abs("pair.coef").alias("importance")))
 
 
-def tree_importance(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
-    """(feature, importance) of a fitted tree model."""
-    return [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+def tree_importance(spark: SparkSession, models: dict[str, Model],
+                    features: Sequence[str]) -> DataFrame:
+    """(model, feature, importance) of fitted tree models."""
+    rows = [(name, f, float(v)) for name, m in models.items()
+            for f, v in zip(features, m.featureImportances.toArray())]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")

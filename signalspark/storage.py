@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -27,9 +28,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="signalspark-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="signalspark-")
+    return _local_dirs[app]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

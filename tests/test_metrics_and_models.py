@@ -134,8 +134,11 @@ def test_predictions_and_comparison(spark):
     table = report.variant_names(metrics.compare(out)).first()
     assert table.Model == "Baseline" and table.model_type == "logistic_regression"
     assert table.accuracy_mean > 0.6 and table.auc_mean > 0.7
-    custom = mod.cv_estimator(training_rows(spark), ["a", "b"], lambda n: mod.boosted_trees(n, maxIter=3), PARAMS)
-    assert custom.count() == 120
+    rows = mod.fold_rows(training_rows(spark), ["a", "b"], PARAMS)
+    trees = mod.fit_per_fold(rows, lambda n: mod.boosted_trees(n, maxIter=3))
+    assert mod.predict_per_fold(rows, trees).count() == 120
+    shares = mod.tree_importance(spark, trees, ["a", "b"]).groupBy("model").agg(F.sum("importance").alias("s"))
+    assert [round(r.s, 9) for r in shares.collect()] == [1.0] * 3
 
 
 def test_attribution(spark):

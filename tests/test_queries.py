@@ -48,6 +48,13 @@ def test_query_equals_sql(spark, sql, name):
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
 
 
+def test_scan_reads_only_the_columns_it_needs(spark):
+    got = entry.queries()["decay_exponential"](spark, DATA)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the daily aggregate; news is not shuffled
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry is not None

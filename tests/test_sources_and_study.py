@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from signalspark import storage
 from signalspark.operators.scoring import score_lexicon, with_text
 from signalspark.params import FoldParams, StudyParams, SweepParams
 from signalspark.plans.study import Study
@@ -56,6 +57,20 @@ def test_written_tables_go_to_the_shared_folder(spark):
     assert df.count() == 3 and all(work_dir(spark) in f for f in df.inputFiles())
 
 
+def test_local_sessions_fall_back_to_one_temporary_folder(spark, monkeypatch):
+    monkeypatch.setattr(storage, "CHECKPOINT_CONF", "spark.checkpoint.dir.unset")
+    first = work_dir(spark)
+    assert first == work_dir(spark) and "signalspark-" in first
+    assert materialize(spark.range(2).toDF("a")).count() == 2
+
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(Cluster())
+
+
 def test_best_configuration(spark):
     rows = [(0, "linear", "beta", 0.1, 0.5), (1, "linear", "beta", 0.2, 0.9), (2, "linear", "beta", 0.3, 0.9),
             (3, "linear", "beta", 0.4, None)]

@@ -584,6 +584,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, len(words) AS total, {_words(POSITIVE_WORDS)} AS p,
                      {_words(NEGATIVE_WORDS)} AS n
               FROM (SELECT doc_id, {_TOKENS} AS words FROM documents))""",
+    "score_batch": f"""
+        SELECT doc_id, round((n + 1) / (total + 3e0), 9) AS negative,
+               round((total - p - n + 1) / (total + 3e0), 9) AS neutral,
+               round((p + 1) / (total + 3e0), 9) AS positive,
+               round((p + 1) / (total + 3e0) - (n + 1) / (total + 3e0), 9) AS sentiment_score
+        FROM (SELECT doc_id, len(words) AS total, {_words(POSITIVE_WORDS)} AS p,
+                     {_words(NEGATIVE_WORDS)} AS n
+              FROM (SELECT doc_id, {_TOKENS} AS words
+                    FROM (SELECT doc_id, lang || ' ' || source || ' ' || text AS text
+                          FROM documents)))""",
     "linear_attribution": sql(
         " UNION ALL ".join(
             f"SELECT '{c}' AS feature, round(avg(abs(b * ({c} - m))), 9) AS importance FROM complete, "
