@@ -30,6 +30,21 @@ def linear_contributions(rows: DataFrame, coefficients: dict[str, Column],
     return rows.withColumns({f: c * (F.col(f) - centers[f]) for f, c in coefficients.items()})
 
 
+def fitted_attribution(rows: DataFrame, coefficients: DataFrame,
+                       features: Sequence[str]) -> DataFrame:
+    """(model, feature, importance) of fitted logistic models over scaled rows ``model, x``.
+
+    The features are scaled by their training mean, so coefficient times value is
+    the exact attribution. One coefficient row per model is broadcast.
+    """
+    terms = F.zip_with("x", "coef", lambda x, c: F.abs(x * c))
+    parts = (rows.select("model", "x").join(F.broadcast(coefficients.select("model", "coef")), "model")
+             .select("model", F.posexplode(terms).alias("_pos", "_term")))
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_pos") + 1)
+    return (parts.groupBy("model", "_pos").agg(F.avg("_term").alias("importance"))
+            .select("model", name.alias("feature"), "importance"))
+
+
 def sampled_shapley(model: Model, explain: DataFrame, background: DataFrame,
                     features: Sequence[str], permutations: int = 10, seed: int = 42) -> DataFrame:
     """Monte-Carlo Shapley values (Strumbelj and Kononenko) of any MLlib classifier.

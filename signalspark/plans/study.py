@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from signalspark.functions.text import tag_entity
 from signalspark.operators.align import align_news
+from signalspark.operators.attribution import (
+    compare_importance, fitted_attribution, sample_rows, top_features)
 from signalspark.operators.daily import apply_decay, daily_sentiment, with_normalized_time
 from signalspark.operators.features import (
     add_target, feature_names, technical_table, with_sentiment)
+from signalspark.operators.folds import TEST, TRAIN
+from signalspark.operators.logistic import fit_logistic
 from signalspark.operators.metrics import compare
 from signalspark.operators.models import (
     boosted_trees, cv_estimator_rows, cv_logistic_rows, fold_rows)
@@ -38,6 +42,7 @@ class Study:
 
     params: StudyParams = field(default_factory=StudyParams)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    feature_names: dict[str, list[str]] = field(default_factory=dict)
 
     def prepare(self, bars: DataFrame, news: DataFrame,
                 keywords: Mapping[str, Sequence[str]] | None = None,
@@ -98,7 +103,9 @@ class Study:
         for v in variants:
             table = self.features(v)
             names = feature_names(table.columns, VARIANTS[v] is not None)
-            parts.append(fold_rows(table, names, self.params.folds, variant=v))
+            self.tables[f"rows_{v}"] = fold_rows(table, names, self.params.folds, variant=v)
+            self.feature_names[v] = names
+            parts.append(self.tables[f"rows_{v}"])
         rows = reduce(DataFrame.unionByName, parts)
         predictions = reduce(DataFrame.unionByName, [MODELS[m](rows) for m in models])
         self.tables["predictions"] = materialize(predictions, "predictions")
@@ -112,10 +119,26 @@ class Study:
         self.tables["findings"] = rep.key_findings(self.tables["comparison"])
         return self
 
+    def explain(self, baseline: str = "baseline", other: str = "decay_sentiment") -> "Study":
+        """Mean absolute attribution of the newest fold's logistic models, side by side."""
+        shares = {}
+        for v in (baseline, other):
+            rows = self.tables[f"rows_{v}"]
+            newest = rows.filter(F.col("fold") == rows.agg(F.max("fold")).first()[0])
+            fitted = fit_logistic(newest.filter(F.col("role") == TRAIN))
+            picked = sample_rows(newest.filter(F.col("role") == TEST), self.params.attribution_rows,
+                                 ["Ticker", "Date"])
+            shares[v] = materialize(fitted_attribution(picked, fitted, self.feature_names[v]),
+                                    "importance")
+        self.tables |= {"importance": compare_importance(shares[baseline], shares[other]),
+                        "top_features": top_features(shares[other])}
+        return self
+
     def report(self, folder: str, fmt: str = "csv") -> list[str]:
         """Write the report tables."""
         tables = {n: self.tables.get(n) for n in
-                  ("comparison", "grid_summary", "curve", "best_config", "findings")}
+                  ("comparison", "grid_summary", "curve", "best_config", "findings", "importance",
+                   "top_features")}
         if "comparison" in self.tables:
             tables["metrics"] = rep.compared_metrics(self.tables["comparison"])
         if "scored" in self.tables:

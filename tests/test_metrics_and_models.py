@@ -153,6 +153,9 @@ def test_attribution(spark):
     # a linear model's Shapley value is coefficient times distance from the background mean
     want = np.mean(np.abs(xs * np.array(list(model.coefficients))), axis=0)
     assert [got["a"], got["b"]] == pytest.approx(list(want), rel=0.15)
+    fitted = fit_logistic(train)
+    exact = {r.feature: r.importance for r in attribution.fitted_attribution(picked, fitted, ["a", "b"]).collect()}
+    assert [exact["a"], exact["b"]] == pytest.approx(list(want), rel=1e-3)
     left = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, importance double")
     right = spark.createDataFrame([("b", 3.0), ("c", 1.5)], "feature string, importance double")
     both = [tuple(r) for r in attribution.compare_importance(left, right).collect()]

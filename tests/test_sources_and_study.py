@@ -97,7 +97,7 @@ def test_small_study_end_to_end(spark, tmp_path):
                          sweep=SweepParams(exponential=(1.0,), half_life=(2.0,), linear=(0.5,)))
     study = Study(params).prepare(bars, news)
     study.score(lambda df: score_lexicon(with_text(df), "combined_text", ("gain",), ("loss",)))
-    study.sweep().train().evaluate()
+    study.sweep().train().evaluate().explain()
     comparison = study.tables["comparison"].collect()
     assert sorted(r.Model for r in comparison) == ["Baseline", "Decay Sentiment", "Flat Sentiment"]
     assert all(0 <= r.auc_mean <= 1 and r.max_drawdown_mean <= 0 for r in comparison)
@@ -105,7 +105,11 @@ def test_small_study_end_to_end(spark, tmp_path):
     best = study.tables["best_config"].first()
     assert (study.params.decay_type, study.params.decay_value) == (best.decay_type, best.param_value)
     written = study.report(str(tmp_path / "out"))
-    assert len(written) == 9
+    assert len(written) == 11
     assert spark.read.option("header", True).csv(written[0]).count() == 3
+    shares = {r.feature: r for r in study.tables["importance"].collect()}
+    assert shares["RSI"].baseline_importance > 0 and "sent_count_lag1" not in shares
+    assert any("sent" in f and r.baseline_importance == 0 for f, r in shares.items())
+    assert study.tables["top_features"].count() == 10
     aligned = study.tables["aligned"]
     assert aligned.filter(F.weekday("Date") > 4).count() == 0

@@ -399,6 +399,13 @@ def model_importance(s: SparkSession, d: str) -> DataFrame:
     return rounded(mod.coefficient_importance(fitted, FEATURES))
 
 
+def model_attribution(s: SparkSession, d: str) -> DataFrame:
+    """Attribution of every fold's logistic model over its test rows."""
+    rows = mod.fold_rows(_technical_rows(s, d), FEATURES)
+    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
+    return rounded(attribution.fitted_attribution(rows.filter(F.col("role") == TEST), fitted, FEATURES))
+
+
 def variant_comparison(s: SparkSession, d: str) -> DataFrame:
     study = _study(s, d, v.news)
     return rounded(study.train().evaluate().tables["comparison"])
@@ -554,6 +561,7 @@ QUERIES: dict[str, Query] = {
     "cv_logistic": cv_logistic,
     "cv_gbt": cv_gbt,
     "model_importance": model_importance,
+    "model_attribution": model_attribution,
     "variant_comparison": variant_comparison,
     "linear_attribution": linear_attribution,
     "importance_compare": importance_compare,
