@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import mixing, sharding
+from signalspark.llm import mixing, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -29,4 +29,9 @@ def op9_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("probability", 6).alias("probability"), "sampled")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op7_feistel_shards, op9_raked_mix)}
+def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = window_dedup.repeated_windows(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op4_radix_windows, op7_feistel_shards, op9_raked_mix)}
