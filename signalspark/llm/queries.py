@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import mixing, sharding, window_dedup
+from signalspark.llm import mixing, perplexity, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -29,9 +29,16 @@ def op9_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = perplexity.with_verdict(perplexity.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rows.select("doc_id", *[F.col(f"_lm_{n}").alias(n) for n in names],
+                       F.round("_lm_log_ppl", 4).alias("log_perplexity"))
+
+
 def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = window_dedup.repeated_windows(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_radix_windows, op7_feistel_shards, op9_raked_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op7_feistel_shards, op9_raked_mix)}
