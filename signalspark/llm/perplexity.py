@@ -8,7 +8,7 @@ model beyond ``MAX_MODEL_ROWS`` is joined to the documents' n-grams instead.
 
 A document is rejected if a fixed rule fails or if its mean log perplexity lies
 outside its language's band: the quartiles of all documents, widened by ``BAND``
-times their distance. Null texts are empty, null languages a language of their own;
+times their distance (and by the square root of its shortness below ``FULL_WORDS``). Null texts are empty, null languages a language of their own;
 texts shorter than an n-gram have no perplexity and only the fixed rules apply.
 """
 
@@ -27,7 +27,9 @@ from signalspark.storage import materialize
 ORDER = 4
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-BAND = 5.0
+BAND = 10.0
+#: From this many words on the band has its full narrowness; below, it widens with the noise of a short mean.
+FULL_WORDS = 100
 #: Least width of the quartiles, so that a uniform corpus does not reject its tails.
 LEAST_SPREAD = 0.05
 MAX_MODEL_ROWS = 8_000_000
@@ -346,10 +348,11 @@ def with_verdict(rows: DataFrame, band: float = BAND) -> DataFrame:
     quartile = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) for q in (0.25, 0.75)]
     spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
     bands = (values.groupBy("_lm_group").agg(quartile[0].alias("q1"), quartile[1].alias("q3"))
-             .select(F.col("_lm_group").alias("_lm_of"), (F.col("q1") - band * spread).alias("_lm_low"),
-                     (F.col("q3") + band * spread).alias("_lm_high")))
+             .select(F.col("_lm_group").alias("_lm_of"), F.col("q1").alias("_lm_low"), F.col("q3").alias("_lm_high"),
+                     spread.alias("_lm_spread")))
     judged = rows.join(F.broadcast(bands), F.col("_lm_group").eqNullSafe(F.col("_lm_of")), "left")  # a row per language
     failed = (F.col("_lm_n_words") < MIN_WORDS) | (100 * F.col("_lm_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_lm_n_words"))
-    inside = F.coalesce(F.round("_lm_log_ppl", 3).between(F.col("_lm_low"), F.col("_lm_high")), F.lit(True))
+    wide = band * F.col("_lm_spread") * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_WORDS) / F.greatest("_lm_n_words", F.lit(1))))
+    inside = F.coalesce(F.round("_lm_log_ppl", 3).between(F.col("_lm_low") - wide, F.col("_lm_high") + wide), F.lit(True))
     return judged.withColumns({"_lm_base_failed": failed, "_lm_kept": ~failed & inside}).drop(
-        "_lm_of", "_lm_low", "_lm_high", "_lm_group")
+        "_lm_of", "_lm_low", "_lm_high", "_lm_spread", "_lm_group")
