@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import mixing, perplexity, sharding, window_dedup
+from signalspark.llm import mixing, near_vectors, perplexity, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.feistel_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -41,4 +45,4 @@ def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op7_feistel_shards, op9_raked_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op7_feistel_shards, op9_raked_mix)}
