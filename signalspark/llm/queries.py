@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import mixing, near_vectors, perplexity, sharding, window_dedup
+from signalspark.llm import bpe, mixing, near_vectors, perplexity, sharding, window_dedup
 from signalspark.storage import materialize
 
 
+def public_bpe() -> tuple[str, str]:
+    """Rank file and pattern of the public multilingual byte-level BPE."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +29,10 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), *public_bpe()))
+
+
 def op9_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = materialize(docs.select("doc_id", "source", "lang", mixing.topic_of().alias("topic"),
@@ -45,4 +55,5 @@ def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op7_feistel_shards, op9_raked_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op7_feistel_shards, op8_distinct_word_bpe,
+                                     op9_raked_mix)}
