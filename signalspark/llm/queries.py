@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, mixing, near_vectors, perplexity, sharding, window_dedup
+from signalspark.llm import bpe, chosen_path, mixing, near_vectors, perplexity, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -23,6 +23,11 @@ def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "text_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.feistel_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -55,5 +60,5 @@ def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op7_feistel_shards, op8_distinct_word_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
                                      op9_raked_mix)}
