@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chosen_path, mixing, near_vectors, perplexity, sharding, window_dedup
+from signalspark.llm import bpe, chosen_path, line_dedup, mixing, near_vectors, perplexity, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -48,6 +48,16 @@ def op9_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.when(F.col("text").isNull(), 0).otherwise(
+        F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    removed = line_dedup.removed_lines(docs).withColumnsRenamed({"id": "_id", "digest": "_digest"})
+    joined = slim.join(removed, slim["doc_id"].eqNullSafe(removed["_id"]) & (slim["digest"] == removed["_digest"]), "left")
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+                         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
+
+
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = perplexity.with_verdict(perplexity.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,5 +70,5 @@ def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
                                      op9_raked_mix)}
