@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chosen_path, line_dedup, mixing, near_vectors, perplexity, sharding, window_dedup
+from signalspark.llm import bpe, chosen_path, compact_windows, line_dedup, mixing, near_vectors, perplexity, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -70,5 +70,9 @@ def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
-                                     op9_raked_mix)}
+                                     op9_raked_mix, op10_compact_windows)}
