@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chosen_path, compact_windows, line_dedup, mixing, near_vectors, perplexity, sharding, window_dedup
+from signalspark.llm import bpe, chosen_path, compact_windows, line_dedup, mixing, near_vectors, perplexity, pii, sharding, window_dedup
 from signalspark.storage import materialize
 
 
@@ -58,6 +58,10 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
+def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = perplexity.with_verdict(perplexity.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,5 +78,5 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_passages(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_semi_markov_pii, op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
                                      op9_raked_mix, op10_compact_windows)}
