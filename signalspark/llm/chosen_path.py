@@ -268,8 +268,9 @@ def candidate_components(classes: DataFrame, recall: float = RECALL) -> DataFram
     return materialize(grouped.withColumnRenamed("node", "digest").join(sizes, "component"), "candidates")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
-    """(id, text_id, class_id, n_links) per row of ``docs``.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL,
+                 with_digest: bool = False) -> DataFrame:
+    """(id, text_id, class_id, n_links) per row of ``docs``, also the text's digest if asked for.
 
     ``text_id`` is the smallest id with the same text, ``class_id`` the smallest id
     within reach over links, ``n_links`` the number of other rows that are linked.
@@ -295,5 +296,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "digest", "text_id", F.coalesce("class_id", "text_id").alias("class_id"),
         (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = base.select("id", "digest").join(labelled, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("text_id", "id").alias("text_id"),
+    digest = ["digest"] if with_digest else []
+    return out.select(F.col("id").alias(id_col), *digest, F.coalesce("text_id", "id").alias("text_id"),
                       F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
