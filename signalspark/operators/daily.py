@@ -65,6 +65,7 @@ def decay_daily(scored: DataFrame, decay: IntradayDecay | Callable[[Column], Col
         F.sum(F.when(F.col(SCORE).isNotNull(), F.col("w"))).alias("w_scored"),
         F.sum(F.col("w") * F.col(SCORE)).alias("ws"),
         F.sum(F.col("w") * F.col(SCORE) * F.col(SCORE)).alias("wss"),
+        F.min(SCORE).alias("lo"), F.max(SCORE).alias("hi"),
         F.avg(SCORE).alias("sent_flat_mean"),
         F.stddev_samp(SCORE).alias("sent_std"),
         F.count(SCORE).alias("sent_count"))
@@ -72,12 +73,13 @@ def decay_daily(scored: DataFrame, decay: IntradayDecay | Callable[[Column], Col
 
 
 def weighted_moments() -> list[Column]:
-    """Mean and biased variance from the sums w, w_scored, ws and wss."""
+    """Mean and biased variance from the sums w, w_scored, ws and wss; exactly 0 if lo and hi are equal."""
     mean = F.try_divide("ws", "w")
     spread = F.col("wss") - 2 * mean * F.col("ws") + mean * mean * F.col("w_scored")
     variance = F.try_divide(spread, F.col("w"))
     return [mean.alias("sent_decay_mean"),
-            F.when(variance.isNotNull(), F.greatest(variance, F.lit(0.0))).alias("sent_decay_var")]
+            F.when(variance.isNotNull(), F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(
+                F.greatest(variance, F.lit(0.0)))).alias("sent_decay_var")]
 
 
 def weighted_variance(scored: DataFrame, decay: IntradayDecay | Callable[[Column], Column],

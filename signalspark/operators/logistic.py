@@ -25,21 +25,25 @@ PARTIAL = "model string, part int, n bigint, stats array<double>"
 STATE = "model string, n bigint, beta array<double>, previous array<double>, loss double, done boolean"
 # Partial rows of one model that one task adds up; each holds the square of the features.
 FAN_IN = 256
+# Fixed value: most steps of a fit. Newton steps converge in some ten; ``converged`` tells if one did not.
+LOGISTIC_ITERATIONS = 1000
 
 
 def assemble(rows: DataFrame, features: Sequence[str], keys: Sequence[str],
              label: str = "Target") -> DataFrame:
     """``model`` (text id of the keys), ``x`` (features as array), ``y`` and all other columns."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    # escaped, so that different keys never give one id; null differs from every text
+    plain = [F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for k in keys]
+    parts = [F.coalesce(p, F.lit("\\N")) for p in plain]
     return rows.withColumns({
         "model": F.concat_ws("|", *parts),
         "x": F.array(*[F.col(c).cast("double") for c in features]),
         "y": F.col(label).cast("double")}).drop(*features)
 
 
-def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 50, tol: float = 1e-9,
+def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = LOGISTIC_ITERATIONS, tol: float = 1e-9,
                  fan_in: int = FAN_IN) -> DataFrame:
-    """Coefficients ``(model, intercept, coef, n_train)`` of every model in ``train``.
+    """Coefficients ``(model, intercept, coef, n_train, converged, iterations)`` of every model in ``train``.
 
     Minimises ``c * sum(log loss) + |coef|^2 / 2``; the intercept is not
     penalised. ``train`` holds ``model, x, y`` and is read once per step, so pass
@@ -49,17 +53,19 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 50, tol: floa
     rows = train.select("model", "x", "y")
     wide = rows.rdd.getNumPartitions() > fan_in
     states: dict[str, Row] = {}
+    steps: dict[str, int] = {}
     for _ in range(max_iter):
         sums = rows.mapInArrow(_partial_sums(states, fan_in), PARTIAL)
         if wide:
             sums = sums.groupBy("model", "part").applyInPandas(_add_up, PARTIAL)
         stepped = sums.groupBy("model").applyInPandas(_newton_step(states, c, tol), STATE).collect()
         states |= {r.model: r for r in stepped}
+        steps |= {r.model: steps.get(r.model, 0) + 1 for r in stepped}
         if all(r.done for r in states.values()):
             break
     return train.sparkSession.createDataFrame(
-        [(r.model, r.beta[-1], r.beta[:-1], r.n) for r in states.values()],
-        "model string, intercept double, coef array<double>, n_train bigint")
+        [(r.model, r.beta[-1], r.beta[:-1], r.n, r.done, steps[r.model]) for r in states.values()],
+        "model string, intercept double, coef array<double>, n_train bigint, converged boolean, iterations int")
 
 
 def predict_logistic(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def predict_logistic(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
     The coefficient table has one row per model, so it is broadcast.
     """
     dot = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = rows.join(F.broadcast(coefficients.drop("n_train")), "model")
+    scored = rows.join(F.broadcast(coefficients.select("model", "intercept", "coef")), "model")
     scored = scored.withColumn("_z", dot + F.col("intercept"))
     return scored.withColumns({
         "proba": F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))),

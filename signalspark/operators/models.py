@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, standardize
 from signalspark.operators.features import model_matrix
-from signalspark.operators.logistic import assemble, fit_logistic, predict_logistic
+from signalspark.operators.logistic import LOGISTIC_ITERATIONS, assemble, fit_logistic, predict_logistic
 from signalspark.params import FoldParams
 from signalspark.storage import materialize, work_dir
 
 # Settings of the boosted trees and the logistic regression.
-TREES, DEPTH, RATE, SEED, LOGISTIC_ITERATIONS = 100, 5, 0.1, 42, 1000
+TREES, DEPTH, RATE, SEED = 100, 5, 0.1, 42
 PARALLEL_FITS = 10
 
 
@@ -131,6 +131,14 @@ def cv_boosted(df: DataFrame, features: Sequence[str], params: FoldParams = Fold
                         variant, "boosted_trees")
 
 
+def _boosted_rows(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return cv_estimator_rows(rows, boosted_trees, "boosted_trees", keys)
+
+
+#: Models by name: training table and keys to out-of-fold predictions.
+MODELS: dict[str, Callable[..., DataFrame]] = {"logistic_regression": cv_logistic_rows, "boosted_trees": _boosted_rows}
+
+
 def coefficient_importance(coefficients: DataFrame, features: Sequence[str]) -> DataFrame:
     """(model, feature, importance = |coefficient|) of fitted logistic models."""
     names = F.array(*[F.lit(f) for f in features])

@@ -111,9 +111,16 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def append_scores(todo: DataFrame, make_predict_fn: Callable, path: str, version: str,
                   labels: Sequence[str] = CLASSES, replace: bool = False) -> None:
-    """Score ``todo`` into the store; ``replace`` drops the older scores of this version."""
-    fresh = score_distinct(todo, make_predict_fn, labels).drop("combined_text")
-    (fresh.withColumn("model_version", F.lit(version)).write
+    """Score ``todo`` into the store; ``replace`` drops the older scores of these texts in this version."""
+    fresh = score_distinct(todo, make_predict_fn, labels).drop("combined_text").withColumn("model_version", F.lit(version))
+    if replace:
+        spark = todo.sparkSession
+        fresh = materialize(fresh, "scores")
+        others = read_scores(spark, path).filter(F.col("model_version") == version).join(
+            fresh.select("text_key"), "text_key", "left_anti")
+        # the partition is read and written, so its new content is complete before it is replaced
+        fresh = materialize(fresh.unionByName(others), "scores")
+    (fresh.write
      .mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
      .partitionBy("model_version").parquet(path))
 
@@ -124,7 +131,7 @@ def score_with_store(news: DataFrame, make_predict_fn: Callable, path: str, vers
                      **join_limits: float) -> DataFrame:
     """Score what the store lacks, append it, and join all scores to the news.
 
-    ``force_refresh`` scores every text again and prefers the new scores.
+    ``force_refresh`` scores every text of ``news`` again; other stored scores stay.
     """
     spark = news.sparkSession
     texted = with_text(news)

@@ -59,6 +59,5 @@ class StudyParams:
     trading: TradingParams = field(default_factory=TradingParams)
     sweep: SweepParams = field(default_factory=SweepParams)
     metric: str = "sharpe_ratio"
-    attribution_rows: int = 100
     decay_type: str = "exponential"
     decay_value: float = 1.0

@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 from signalspark.functions.text import tag_entity
 from signalspark.operators.align import align_news
 from signalspark.operators.attribution import (
-    compare_importance, fitted_attribution, sample_rows, top_features)
+    compare_importance, fitted_attribution, top_features)
 from signalspark.operators.daily import apply_decay, daily_sentiment, with_normalized_time
 from signalspark.operators.features import (
     add_target, feature_names, technical_table, with_sentiment)
 from signalspark.operators.folds import TEST, TRAIN
 from signalspark.operators.logistic import fit_logistic
 from signalspark.operators.metrics import compare
-from signalspark.operators.models import (
-    boosted_trees, cv_estimator_rows, cv_logistic_rows, fold_rows)
+from signalspark.operators.models import MODELS, boosted_trees, fit_per_fold, fold_rows, tree_importance
 from signalspark.params import StudyParams
 from signalspark.plans import report as rep
 from signalspark.plans import sweep as sw
@@ -29,10 +28,6 @@ from signalspark.sources.news import dedupe_news
 from signalspark.storage import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
-# Models by name: training table to predictions. Add an entry for a model of your own.
-MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "logistic_regression": cv_logistic_rows,
-    "boosted_trees": lambda rows: cv_estimator_rows(rows, boosted_trees, "boosted_trees")}
 VARIANTS = {"baseline": None, "flat_sentiment": "flat", "decay_sentiment": "decay"}
 
 
@@ -67,11 +62,11 @@ class Study:
         self.tables["daily"] = daily_sentiment(self.tables["scored"])
         return self
 
-    def sweep(self) -> "Study":
-        """All decay configurations; the best one becomes the decay of the study."""
+    def sweep(self, model: str = "logistic_regression") -> "Study":
+        """All decay configurations judged by one model; the best one becomes the decay of the study."""
         p = self.params
         daily = sw.sweep_daily(self.tables["scored"], p.sweep)
-        predictions = materialize(sw.sweep_predictions(self.tables["technical"], daily, p.sweep, p.folds),
+        predictions = materialize(sw.sweep_predictions(self.tables["technical"], daily, p.sweep, p.folds, model),
                                   "sweep_predictions")
         metrics = materialize(sw.sweep_metrics(predictions, p.sweep, p.trading), "sweep_metrics")
         curve = sw.sweep_curve(metrics, p.metric)
@@ -93,7 +88,7 @@ class Study:
         return with_sentiment(technical, daily, kind)
 
     def train(self, variants: Sequence[str] = tuple(VARIANTS),
-              models: Sequence[str] = ("logistic_regression",)) -> "Study":
+              models: Sequence[str] = tuple(MODELS)) -> "Study":
         """Out-of-fold predictions of every variant and model in one table.
 
         The baseline sees technical features only. The training tables of all
@@ -120,25 +115,41 @@ class Study:
         return self
 
     def explain(self, baseline: str = "baseline", other: str = "decay_sentiment") -> "Study":
-        """Mean absolute attribution of the newest fold's logistic models, side by side."""
+        """Mean absolute attribution of the logistic models over all test rows of all folds, side by side."""
         shares = {}
         for v in (baseline, other):
             rows = self.tables[f"rows_{v}"]
-            newest = rows.filter(F.col("fold") == rows.agg(F.max("fold")).first()[0])
-            fitted = fit_logistic(newest.filter(F.col("role") == TRAIN))
-            picked = sample_rows(newest.filter(F.col("role") == TEST), self.params.attribution_rows,
-                                 ["Ticker", "Date"])
-            shares[v] = materialize(fitted_attribution(picked, fitted, self.feature_names[v]),
-                                    "importance")
+            fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
+            parts = fitted_attribution(rows.filter(F.col("role") == TEST), fitted, self.feature_names[v])
+            shares[v] = materialize(parts.groupBy("feature").agg(F.avg("importance").alias("importance")), "importance")
         self.tables |= {"importance": compare_importance(shares[baseline], shares[other]),
                         "top_features": top_features(shares[other])}
         return self
 
+    def explain_trees(self, variant: str = "decay_sentiment") -> "Study":
+        """Importance of each feature in the boosted trees, averaged over the folds."""
+        trees = fit_per_fold(self.tables[f"rows_{variant}"], boosted_trees)
+        shares = tree_importance(self.tables["technical"].sparkSession, trees, self.feature_names[variant])
+        self.tables["tree_importance"] = shares.groupBy("feature").agg(F.avg("importance").alias("importance"))
+        return self
+
+    def run(self, scorer: Scorer, skip: Sequence[str] = ()) -> "Study":
+        """All steps after ``prepare``; ``skip`` names steps to leave out, such as sweep or explain."""
+        steps = {"score": lambda: self.score(scorer), "sweep": self.sweep, "train": self.train,
+                 "evaluate": self.evaluate, "explain": self.explain}
+        unknown = set(skip) - set(steps)
+        if unknown:
+            raise ValueError(f"no such steps: {sorted(unknown)}")
+        for name, step in steps.items():
+            if name not in skip:
+                step()
+        return self
+
     def report(self, folder: str, fmt: str = "csv") -> list[str]:
         """Write the report tables."""
         tables = {n: self.tables.get(n) for n in
                   ("comparison", "grid_summary", "curve", "best_config", "findings", "importance",
-                   "top_features")}
+                   "top_features", "tree_importance")}
         if "comparison" in self.tables:
             tables["metrics"] = rep.compared_metrics(self.tables["comparison"])
         if "scored" in self.tables:

@@ -19,7 +19,7 @@ from signalspark.operators.daily import (
 from signalspark.operators.features import (
     TICKER, add_sentiment_features, feature_names, fill_features)
 from signalspark.operators.metrics import compare
-from signalspark.operators.models import cv_logistic
+from signalspark.operators.models import MODELS, fold_rows
 from signalspark.operators.recurrence import decaying_sum
 from signalspark.params import FoldParams, SweepParams, TradingParams
 
@@ -37,7 +37,7 @@ def minute_totals(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     s = F.col(SCORE)
     return (with_normalized_time(scored).groupBy(*keys, TIME_01)
             .agg(F.count(F.lit(1)).alias("items"), F.count(s).alias("n"),
-                 F.sum(s).alias("s1"), F.sum(s * s).alias("s2")))
+                 F.sum(s).alias("s1"), F.sum(s * s).alias("s2"), F.min(s).alias("lo"), F.max(s).alias("hi")))
 
 
 def _with_configs(df: DataFrame, entries: list[Column]) -> DataFrame:
@@ -68,9 +68,10 @@ def sweep_daily(scored: DataFrame, params: SweepParams = SweepParams(),
         sums = _with_configs(minutes, intraday).groupBy("config_id", *keys).agg(
             F.sum(w * F.col("items")).alias("w"), F.sum(w * F.col("n")).alias("w_scored"),
             F.sum(w * F.col("s1")).alias("ws"), F.sum(w * F.col("s2")).alias("wss"),
-            F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+            F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         n, s1, s2 = F.col("n"), F.col("s1"), F.col("s2")
-        spread = F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)
+        spread = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1))
         parts.append(sums.select(
             "config_id", *keys, *weighted_moments(), F.try_divide(s1, n).alias("sent_flat_mean"),
             F.when(n > 1, F.sqrt(spread)).alias("sent_std"), n.alias("sent_count")))
@@ -104,14 +105,16 @@ def sweep_feature_table(technical: DataFrame, daily: DataFrame,
 
 
 def sweep_predictions(technical: DataFrame, daily: DataFrame, params: SweepParams = SweepParams(),
-                      folds: FoldParams = FoldParams()) -> DataFrame:
-    """Out-of-fold predictions of every configuration, fitted together.
+                      folds: FoldParams = FoldParams(), model: str = "logistic_regression") -> DataFrame:
+    """Out-of-fold predictions of every configuration by one of ``MODELS``.
 
-    ``technical`` is the written table of technical features with target.
+    ``technical`` is the written table of technical features with target. The
+    logistic models are fitted together, boosted trees one by one from a few threads.
     """
     table = sweep_feature_table(technical, daily, params)
     features = feature_names(table.columns)
-    return cv_logistic(table, features, folds, ["config_id"], "decay_sentiment")
+    rows = fold_rows(table, features, folds, ["config_id"], "decay_sentiment")
+    return MODELS[model](rows, ["config_id"])
 
 
 def sweep_metrics(predictions: DataFrame, params: SweepParams = SweepParams(),

@@ -169,3 +169,11 @@ def test_sweep_in_one_pass_equals_each_configuration(spark):
             for c in r.__fields__[2:]:
                 want = r[c]
                 assert mine[k][c] is None if want is None else mine[k][c] == pytest.approx(want, abs=1e-9)
+
+
+def test_constant_scores_have_no_spread(spark):
+    rows = [("A", date(2024, 1, 2), datetime(2024, 1, 2, 10, m), 0.1) for m in range(50)]
+    df = spark.createDataFrame(rows, "Ticker string, Date date, Time timestamp_ntz, sentiment_score double")
+    daily = sweep_daily(df, SweepParams(exponential=(0.7,), half_life=(), linear=())).first()
+    assert (daily.sent_std, daily.sent_decay_var) == (0.0, 0.0)
+    assert decay_daily(df, ExponentialDecay(0.7)).first().sent_decay_var == 0.0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalspark.operators import attribution, metrics
 from signalspark.operators import models as mod
-from signalspark.operators.logistic import fit_logistic, predict_logistic
+from signalspark.operators.logistic import assemble, fit_logistic, predict_logistic
 from signalspark.operators.ordered import auc, exact_quantiles
 from signalspark.params import FoldParams
 from signalspark.plans import report
@@ -119,6 +119,16 @@ def test_joint_fit_converges_on_separable_rows_and_mixed_sizes(spark):
     assert w + np.sum((p - y) * x) == pytest.approx(0, abs=1e-6)
 
 
+def test_unfinished_fits_say_so_and_ids_never_meet(spark):
+    rows = [("m", [float(v)], float(v > 0.2)) for v in np.linspace(-1, 1, 40)]
+    df = spark.createDataFrame(rows, "model string, x array<double>, y double")
+    done, cut = fit_logistic(df).first(), fit_logistic(df, max_iter=1).first()
+    assert done.converged and done.iterations > 2 and not cut.converged and cut.iterations == 1
+    keys = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), ("\\N", "c"), ("a\\", "c")]
+    frame = spark.createDataFrame([(*k, 1.0, 1) for k in keys], "p string, q string, f double, Target int")
+    assert assemble(frame, ["f"], ["p", "q"]).select("model").distinct().count() == len(keys)
+
+
 def test_sums_in_two_levels_give_the_same_fit(spark):
     rng = np.random.default_rng(1)
     rows = [("m", [float(v)], float(rng.random() < 1 / (1 + np.exp(-v)))) for v in rng.normal(size=200)]

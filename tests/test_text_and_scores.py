@@ -87,14 +87,16 @@ def test_score_store_only_scores_what_is_new(spark, tmp_path):
     assert [r.combined_text for r in todo.collect()] == ["new"]
     assert scoring.score_with_store(more, predict, store, "v1").count() == 2
     assert scoring.read_scores(spark, store).count() == 3
-    # another version starts anew, a refresh replaces its own version only
+    # another version starts anew, a refresh replaces its own texts in its own version only
     scoring.score_with_store(more, predict, store, "v2")
     flat = lambda: lambda texts: np.full((len(texts), 3), 1 / 3)
     again = scoring.score_with_store(more, flat, store, "v1", force_refresh=True)
     assert {r.sentiment_score for r in again.collect()} == {0.0}
     counts = {r.model_version: r["count"] for r in
               scoring.read_scores(spark, store).groupBy("model_version").count().collect()}
-    assert counts == {"v1": 2, "v2": 2}
+    assert counts == {"v1": 3, "v2": 2}
+    kept = scoring.read_scores(spark, store).filter("model_version = 'v1' and sentiment_score <> 0")
+    assert kept.count() == 1  # "loss" was not among the refreshed texts
 
 
 def test_stream_keeps_the_store_current(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -471,14 +472,21 @@ def top_features(s: SparkSession, d: str) -> DataFrame:
     return rounded(attribution.top_features(baseline.unionByName(only), 5))
 
 
+#: Rows that the sampling attribution explains, and rows it compares with, per fold.
+SHAPLEY_ROWS = 100
+
+
 def sampled_shapley(s: SparkSession, d: str) -> DataFrame:
-    """Shapley values of the first fold's boosted trees on sampled test rows."""
+    """Shapley values of every fold's boosted trees on rows sampled per fold (the method's sample)."""
     rows = mod.fold_rows(_technical_rows(s, d), FEATURES)
-    first = rows.filter(F.col("fold") == 0)
-    model = mod.fit_per_fold(first, lambda n: mod.boosted_trees(n, maxIter=20))["baseline|0"]
-    picked = {r: attribution.sample_rows(first.filter(F.col("role") == r), 100, ["Ticker", "Date"])
-              for r in (TRAIN, TEST)}
-    return rounded(attribution.sampled_shapley(model, picked[TEST], picked[TRAIN], FEATURES))
+    parts = []
+    for name, model in mod.fit_per_fold(rows, mod.boosted_trees).items():
+        mine = rows.filter(F.col("model") == name)
+        picked = {r: attribution.sample_rows(mine.filter(F.col("role") == r), SHAPLEY_ROWS, ["Ticker", "Date"])
+                  for r in (TRAIN, TEST)}
+        parts.append(attribution.sampled_shapley(model, picked[TEST], picked[TRAIN], FEATURES)
+                     .withColumn("model", F.lit(name)))
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 def score_histogram(s: SparkSession, d: str) -> DataFrame:
