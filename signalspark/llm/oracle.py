@@ -1,5 +1,79 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
+
+The others have no SQL: their models, min-hashes, tokenizers or removals cannot be
+written in it at whole tables; tests compare them with brute force.
+"""
 
 from __future__ import annotations
 
-LLM_SQL: dict[str, str] = {}
+from signalspark.llm import mixing, sharding
+
+DOCS = "SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents"
+
+
+def _feistel(source: str, number: str, keep: str) -> str:
+    """Rows of ``source`` with ``number`` replaced by its image, one subquery per round."""
+    inner = f"SELECT {keep}, {number} // side AS l, {number} % side AS r FROM {source}"
+    for multiplier, offset in sharding.round_keys(sharding.SEED):
+        p = sharding.PRIME
+        inner = f"SELECT {keep}, l, r, (r * {multiplier} + {offset}) % {p} AS t FROM ({inner})"
+        inner = f"SELECT {keep}, r AS l, (l + (t * t % {p} + t // 65536) % side) % side AS r FROM ({inner})"
+    return f"SELECT {keep}, l * side + r AS p FROM ({inner})"
+
+
+KEEP = "doc_id, size, text_crc32, n, side"
+SHARDS = f"""
+WITH RECURSIVE bits AS (
+  SELECT range AS i, 0 AS k, range::BIGINT AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+bytes AS (
+  SELECT doc_id, strlen(text) + 1 AS size,
+    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM ({DOCS})),
+sums AS (
+  SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) AS text_crc32 FROM bytes, crc),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x, count(*) OVER () AS n FROM sums),
+sided AS (SELECT *, ceil(sqrt(n))::BIGINT AS side FROM numbered),
+walk AS ({_feistel('sided', 'x', KEEP)}
+  UNION ALL ({_feistel('(SELECT * FROM walk WHERE p >= n)', 'p', KEEP)}))
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {sharding.SHARDS})::INTEGER AS shard,
+  p // {sharding.SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM walk WHERE p < n"""
+
+
+def _mix(budget: float, rounds: int = 40) -> str:
+    """Raking unrolled: more rounds than any table here needs to converge."""
+    dims = mixing.ALPHAS
+    ctes = [f"""tokens AS (
+  SELECT doc_id, source, lang, CASE WHEN contains(text, 'License') THEN 'legal' WHEN regexp_matches(text, '[0-9]') THEN 'figures'
+    WHEN regexp_matches(text, '[#*$%&|<>!]') THEN 'markup' WHEN length(text) < 1500 THEN 'short' ELSE 'long' END AS topic,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM ({DOCS}))""",
+            "cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM tokens GROUP BY ALL HAVING sum(tokens) > 0)",
+            "w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)"]
+    own = ", ".join(f"sum(weight) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
+    ctes.append(f"owned AS (SELECT *, {own} FROM w0)")
+    to = ", ".join(f"own_{d} ** {a} / sum(own_{d} ** {a} * weight / own_{d}) OVER () AS to_{d}" for d, a in dims.items())
+    ctes.append(f"m0 AS (SELECT source, lang, topic, tokens, weight, {to} FROM owned)")
+    keep, k = "source, lang, topic, tokens, " + ", ".join(f"to_{d}" for d in dims), 0
+    for _ in range(rounds):
+        for d in dims:
+            ctes.append(f"m{k + 1} AS MATERIALIZED (SELECT {keep}, weight * to_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM m{k})")
+            k += 1
+    down = "ORDER BY rate DESC, tokens DESC, source, lang, topic"
+    ctes += [f"rated AS (SELECT *, weight / tokens AS rate FROM m{k})",
+             f"""scaled AS (SELECT *, row_number() OVER ({down}) AS rank, ({budget} * sum(tokens) OVER ()
+  - coalesce(sum(tokens) OVER ({down} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER ({down} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM rated)""",
+             "scale AS (SELECT arg_min(c, rank) AS c FROM scaled WHERE c > 0 AND c * rate <= 1)",
+             """mix AS (SELECT source, lang, topic, weight, round(least(1.0, coalesce((SELECT c FROM scale), 1e300) * rate), 9) AS p
+  FROM rated)"""]
+    same = " AND ".join(f"t.{d} IS NOT DISTINCT FROM m.{d}" for d in dims)
+    return f"""WITH {', '.join(ctes)}
+SELECT doc_id, t.source, t.lang, t.topic, tokens::BIGINT AS tokens, round(coalesce(weight, 0), 7) AS weight,
+  round(coalesce(p, 0), 6) AS probability,
+  ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0 < coalesce(p, 0) AS sampled
+FROM tokens t LEFT JOIN mix m ON {same}"""
+
+
+LLM_SQL: dict[str, str] = {"op7_feistel_shards": SHARDS, "op9_raked_mix": _mix(budget=0.5)}
