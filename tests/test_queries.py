@@ -15,7 +15,7 @@ CHECKED = ("market_bars", "news_dedup", "score_increment", "tag_entity", "tag_di
            "score_lexicon", "align_forward", "decay_linear", "decay_variance", "half_life_memory",
            "technical_features", "features_flat", "features_decay", "fold_standardize",
            "rule_comparison", "drawdown", "sweep_features", "best_config", "importance_compare",
-           "score_boxplot", "score_histogram")
+           "score_boxplot", "score_histogram", "cv_logistic_keys", "logistic_gradient", "score_model_totals")
 
 
 @pytest.fixture(scope="module")

@@ -529,6 +529,15 @@ ORACLE_SQL: dict[str, str] = {
         fold_source="SELECT Date FROM complete",
         stats=f"SELECT fold, role, r.*, {_fold_stats} FROM complete r "
               "JOIN fold_days f ON f.Date = r.Date", **ROWS),
+    "cv_logistic_keys": sql(
+        "SELECT f.fold, r.Ticker, r.Date, CAST(r.Target AS INTEGER) AS y_true, 1 AS sound FROM complete r "
+        "JOIN fold_days f ON f.Date = r.Date WHERE f.role = 'test'",
+        fold_source="SELECT Date FROM complete", **ROWS),
+    "logistic_gradient": sql(
+        "SELECT f.fold, count(*) AS n_train, CAST(0.0 AS DOUBLE) AS gradient FROM complete r "
+        "JOIN fold_days f ON f.Date = r.Date WHERE f.role = 'train' GROUP BY f.fold",
+        fold_source="SELECT Date FROM complete", **ROWS),
+    "score_model_totals": sql("SELECT doc_id, CAST(1.0 AS DOUBLE) AS total FROM documents"),
     "classification_metrics": sql(
         f"SELECT {SAMPLE_KEYS}, {rnd(*_ORDER_METRICS)}, "
         + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in

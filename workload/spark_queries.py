@@ -19,7 +19,7 @@ from signalspark.operators.daily import (
     daily_mean, daily_sentiment, decay_daily, half_life_memory, intraday_sentiment,
     weighted_variance, with_normalized_time)
 from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, standardize
-from signalspark.operators.logistic import fit_logistic
+from signalspark.operators.logistic import fit_logistic, predict_logistic
 from signalspark.operators.ordered import auc
 from signalspark.operators.tagging import tag_by_dictionary
 from signalspark.plans import report, sweep
@@ -390,6 +390,33 @@ def cv_logistic(s: SparkSession, d: str) -> DataFrame:
     return rounded(mod.cv_logistic(_technical_rows(s, d), FEATURES))
 
 
+def cv_logistic_keys(s: SparkSession, d: str) -> DataFrame:
+    """What the data alone determine of ``cv_logistic``: which rows are predicted in which fold, and their truth."""
+    out = mod.cv_logistic(_technical_rows(s, d), FEATURES)
+    sound = (F.col("proba").between(0, 1) & ((F.col("proba") > 0.5) == (F.col("y_pred") == 1))).cast("int")
+    return out.select("fold", "Ticker", "Date", "y_true", sound.alias("sound"))
+
+
+def logistic_gradient(s: SparkSession, d: str) -> DataFrame:
+    """Optimality of every fold's logistic fit: training rows, and the largest gradient component, which is 0."""
+    rows = mod.fold_rows(_technical_rows(s, d), FEATURES).filter(F.col("role") == TRAIN)
+    fitted = fit_logistic(rows)
+    scored = predict_logistic(rows, fitted).select("model", "fold", (F.col("proba") - F.col("y")).alias("miss"),
+                                                   F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("at", "value"))
+    sums = scored.groupBy("model", "fold", "at").agg(F.sum(F.col("miss") * F.col("value")).alias("g"), F.count(F.lit(1)).alias("n"))
+    beta = F.concat("coef", F.array(F.lit(0.0)))  # the intercept has no penalty
+    at = sums.join(F.broadcast(fitted.select("model", beta.alias("beta"))), "model")  # one row per fold
+    g = F.abs(F.col("g") + F.element_at("beta", F.col("at") + 1))
+    return at.groupBy("fold").agg(F.max("n").alias("n_train"), F.round(F.max(g), 4).alias("gradient"))
+
+
+def score_model_totals(s: SparkSession, d: str) -> DataFrame:
+    """Every document once, with the sum of its class probabilities by the trained scorer."""
+    model = scoring.text_classifier().fit(v.labelled_text(s, d))
+    scored = scoring.score_classifier(model, v.table(s, d, "documents"))
+    return scored.select("doc_id", F.round(sum(F.col(c) for c in scoring.CLASSES), 6).alias("total"))
+
+
 def cv_gbt(s: SparkSession, d: str) -> DataFrame:
     return rounded(mod.cv_boosted(_technical_rows(s, d), FEATURES))
 
@@ -568,6 +595,9 @@ QUERIES: dict[str, Query] = {
     "score_model": score_model,
     "cv_logistic": cv_logistic,
     "cv_gbt": cv_gbt,
+    "cv_logistic_keys": cv_logistic_keys,
+    "logistic_gradient": logistic_gradient,
+    "score_model_totals": score_model_totals,
     "model_importance": model_importance,
     "model_attribution": model_attribution,
     "variant_comparison": variant_comparison,
