@@ -230,9 +230,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hashlib.sha256(rest).hexdigest()))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("id_was_null"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+            [batch.column("id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
              pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.string())],
-            names=["id", "id_was_null", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256"])
+            names=["id", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256"])
 
 
 def hot_anchors(base: DataFrame) -> np.ndarray:
@@ -248,7 +248,7 @@ def hot_anchors(base: DataFrame) -> np.ndarray:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, removed, kept_sha256) per row of ``docs``; removed lists start and end bytes in turn."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-                       F.col(id_col).isNull().alias("id_was_null"), F.coalesce(text_col, F.lit("")).alias("text"))
+                       F.coalesce(text_col, F.lit("")).alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))
     rows = base.select("id", "digest").distinct()
     first = rows.groupBy("digest").agg(F.min("id").alias("first_id"))
@@ -258,24 +258,27 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = hot_anchors(base)
     # one exchange of the texts serves all three passes below
     dealt = base.repartition("id", "digest").join(flags.hint("shuffle_hash"), ["id", "digest"])
-    originals = dealt.filter(~F.col("is_copy")).select("id", "sub", "text")
-    anchors = originals.mapInArrow(_anchor_rows(hot), "anchor long, id long, sub int, place int")
+    originals = dealt.filter(~F.col("is_copy")).select("id", "digest", "sub", "text")
+    slim = originals.select("id", "sub", "text")
+    keys = flags.select("id", "sub", "digest")  # back to the key by which texts are dealt
+    anchors = slim.mapInArrow(_anchor_rows(hot), "anchor long, id long, sub int, place int")
     tied = (anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter(F.col("n") > 1)
-            .groupBy("id", "sub").agg(F.collect_list("place").alias("places")))
-    todo = originals.join(tied, ["id", "sub"]).select("id", "sub", "text", "places")
+            .groupBy("id", "sub").agg(F.collect_list("place").alias("places")).join(keys, ["id", "sub"]))
+    todo = originals.join(tied.drop("sub"), ["id", "digest"]).select("id", "sub", "text", "places")
     spans = (todo.mapInArrow(_run_rows, "anchor long, id long, sub int, start int, bytes binary")
              .repartition("anchor").sortWithinPartitions("anchor", "id", "sub", "start")
              .mapInArrow(_finish, "id long, sub int, from int, to int"))
     if len(hot):
-        windows = originals.mapInArrow(_hot_windows(hot), "print long, id long, sub int, start int")
+        windows = slim.mapInArrow(_hot_windows(hot), "print long, id long, sub int, start int")
         firsts = (windows.groupBy("print").agg(F.min(F.struct("id", "sub", "start")).alias("first"),
                                                F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
         later = windows.join(firsts, "print").filter(F.struct("id", "sub", "start") > F.col("first"))
         spans = spans.unionByName(later.select("id", "sub", F.col("start").alias("from"),
                                                (F.col("start") + WINDOW).alias("to")))
     listed = spans.groupBy("id", "sub").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    whole = dealt.join(listed, ["id", "sub"], "left").select("id", "id_was_null", "text", "is_copy", "spans")
-    done = whole.mapInArrow(_removed, "id long, id_was_null boolean, n_bytes long, n_removed long, n_spans long, "
+    listed = listed.join(keys, ["id", "sub"]).drop("sub")
+    whole = dealt.join(listed, ["id", "digest"], "left").select("id", "text", "is_copy", "spans")
+    done = whole.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, "
                                       "removed array<int>, kept_sha256 string")
-    return done.select(F.when(~F.col("id_was_null"), F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans",
+    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans",
                        "removed", "kept_sha256")
