@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,12 +90,26 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("id").to_numpy(zero_copy_only=False), batch.column("sub").to_numpy(zero_copy_only=False)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text compressed: it is what the shuffle of the texts mostly holds."""
+    for batch in batches:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        texts = pa.array([squeeze(t.as_py().encode()) for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), texts], names=["id", "digest", "text"])
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.Array:
+    """Texts of a batch as bytes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t.as_py()) for t in batch.column("text")], pa.binary())
+
+
 def _anchor_rows(hot: np.ndarray):
     """(anchor, id, sub, place) of every run whose anchor is not hot."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, subs = _ids(batch)
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(unpacked(batch)):
                 text, _, _, at, gram = runs(piece)
                 keep = ~_among(gram, hot)
                 text, at, gram = text[keep], at[keep], gram[keep]
@@ -119,7 +134,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("places")
         row_of = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
         named = np.sort((row_of.astype(np.int64) << 32) | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        for piece in pieces(batch.column("text")):
+        for piece in pieces(unpacked(batch)):
             text, first, last, at, gram = runs(piece)
             row = piece.first_row + text
             keep = np.flatnonzero(_among((row << 32) | (at - piece.bounds[text]), named))
@@ -192,7 +207,7 @@ def _hot_windows(hot: np.ndarray):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, subs = _ids(batch)
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(unpacked(batch)):
                 text, first, last, _, gram = runs(piece)
                 keep = _among(gram, hot)
                 text, first, n = text[keep], first[keep], (last - first + 1)[keep]
@@ -210,10 +225,10 @@ def _hot_windows(hot: np.ndarray):
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept bytes and counts of each document, from its ``spans``."""
     for batch in batches:
-        texts, copies = batch.column("text"), batch.column("is_copy").to_pylist()
+        texts, copies = unpacked(batch), batch.column("is_copy").to_pylist()
         out = []
         for i, spans in enumerate(batch.column("spans").to_pylist()):
-            raw = (texts[i].as_py() or "").encode()
+            raw = texts[i].as_py()
             if copies[i] and len(raw) >= WINDOW:
                 spans = [{"from": 0, "to": len(raw)}]
             kept, at, gone = [], 0, []
@@ -239,7 +254,8 @@ def hot_anchors(base: DataFrame) -> np.ndarray:
     """Sorted anchors that many of some sampled documents share; at most a few hundred thousand."""
     n = base.count()
     sampled = base.sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=7).dropDuplicates(["digest"])
-    rows = sampled.withColumn("sub", F.lit(0)).select("id", "sub", "text").mapInArrow(
+    packed = sampled.mapInArrow(_pack, "id long, digest long, text binary")
+    rows = packed.withColumn("sub", F.lit(0)).select("id", "sub", "text").mapInArrow(
         _anchor_rows(np.zeros(0, np.uint64)), "anchor long, id long, sub int, place int")
     often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_DOCS).select("anchor")
     return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
@@ -257,7 +273,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         .select("id", "digest", "sub", (F.col("first_id") < F.col("id")).alias("is_copy")), "flags")
     hot = hot_anchors(base)
     # one exchange of the texts serves all three passes below
-    dealt = base.repartition("id", "digest").join(flags.hint("shuffle_hash"), ["id", "digest"])
+    packed = base.select("id", "digest", "text").mapInArrow(_pack, "id long, digest long, text binary")
+    dealt = packed.repartition("id", "digest").join(flags.hint("shuffle_hash"), ["id", "digest"])
     originals = dealt.filter(~F.col("is_copy")).select("id", "digest", "sub", "text")
     slim = originals.select("id", "sub", "text")
     keys = flags.select("id", "sub", "digest")  # back to the key by which texts are dealt
