@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.llm import bpe, chosen_path, compact_windows, line_dedup, mixing, near_vectors, perplexity, pii, sharding, window_dedup
+from signalspark.llm.streams import modest_batches
 from signalspark.storage import materialize
 
 
@@ -16,7 +17,7 @@ def public_bpe() -> tuple[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return modest_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch; texts are some kilobytes, and a task holds a batch several times.
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 GROUP_ROWS = 20_000
 
 
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """Let no Arrow batch of this session have more rows than ``BATCH_ROWS``; a lower setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return spark
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = GROUP_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of about ``rows`` rows that never cut a run of equal ``key`` (a long column)."""
     held: list[pa.RecordBatch] = []
