@@ -1,12 +1,12 @@
-"""Byte-level BPE: every distinct pre-token is encoded once, for all documents.
-
-1. Pre-tokens of all documents are counted (in tasks, then by Spark) to a table of
-   distinct words, and each of them is encoded once.
-2. The most frequent words, ``COMMON_WORDS`` of at most ``COMMON_BYTES`` bytes, are
-   handed to every task: their number and length are fixed. They are what would
-   make a join by word uneven.
-3. All other words are exploded with their positions and joined by word with their
-   ids, which return to their document and are put together by position.
+"""Byte-level BPE: a global shuffle of distinct words encodes each of them once.
+
+1. The most frequent words of some sampled documents are encoded by a Spark job and
+   handed to every task; number and length of these words are fixed. They are what
+   would make a shuffle by word uneven. The sample only splits the work.
+2. All other words of all documents are exploded with their positions and dealt by
+   word. Equal words come together and are encoded once; ids go back to document
+   and position.
+3. Documents, whose texts travel compressed, are put together by position.
 4. Decoding looks every id up in the table of token bytes.
 
 The ranks are a file in tiktoken's format, named by a parameter and read on the
@@ -25,15 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.storage import materialize
 
-COMMON_WORDS = 1 << 18
-COMMON_BYTES = 32
-#: Distinct words that a counting task holds before it hands them on.
-HELD_WORDS = 400_000
+SAMPLE_DOCS = 20_000
+COMMON_WORDS, COMMON_BYTES = 1 << 18, 32
+#: Longer words that are handed out, and their length; above it a word is encoded once per document.
+LONG_WORDS, LONG_BYTES = 1000, 4096
+NO_ID = -(1 << 63)
+#: Words that a task holds before it hands them on.
+HELD_WORDS = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,19 +68,47 @@ def _counted(held: Counter) -> pa.RecordBatch:
                                       names=["word", "n"])
 
 
+def _coder(ranks: dict[bytes, int], pattern: str):
+    import tiktoken
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # a word is one match of the pattern, alone as in its text
+    return lambda word: np.array(encode(word), "<u4").tobytes()
+
+
 def _encode(ranks, pattern: str):
-    """(word, n, ids) of distinct words; ids are 32-bit little-endian."""
+    """(word, ids) of distinct words."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _coder(ranks.value, pattern)
+        for batch in batches:
+            out = [code(word) for word in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.binary())], names=["word", "ids"])
+    return step
+
+
+def _encode_placed(ranks, pattern: str):
+    """(id, digest, part) of placed words: four bytes of position, then the ids."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        code, last, ids = _coder(ranks.value, pattern), None, b""
         for batch in batches:
-            # a word is one match of the pattern, alone as in its text
-            ids = [np.array(encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())],
-                                             names=["word", "n", "ids"])
+            out = []
+            for word, place in zip(batch.column("word").to_pylist(), batch.column("place").to_pylist(), strict=True):
+                if word != last:
+                    last, ids = word, code(word)
+                out.append(place.to_bytes(4, "little") + ids)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(out, pa.binary())],
+                                             names=["id", "digest", "part"])
     return step
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text compressed, for the shuffle."""
+    for batch in batches:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        keep = [c for c in batch.schema.names if c != "text"]
+        texts = pa.array([squeeze((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], names=[*keep, "text"])
+
+
 def _rare(common, pattern: str):
     """(id, digest, place, word) of the words that are not common."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +135,16 @@ def _assemble(common, pattern: str, tokens):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = regex.compile(pattern).findall, common.value
         table, ends = tokens.value
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             all_ids, all_bytes = [], []
             rare = batch.column("rare")
-            for row, text in enumerate(_texts(batch)):
+            for row, packed in enumerate(batch.column("text")):
+                text = unpack(packed.as_py()).decode()
                 parts = [known.get(w) for w in split(text)]
                 if rare[row].is_valid:
-                    got = rare[row].values
-                    for place, ids in zip(got.field("place").to_pylist(), got.field("ids").to_pylist(), strict=True):
-                        parts[place] = ids
+                    for part in rare[row].as_py():
+                        parts[int.from_bytes(part[:4], "little")] = part[4:]
                 ids = b"".join(parts)
                 all_ids.append(ids)
                 all_bytes.append(_decoded(np.frombuffer(ids, "<u4"), table, ends))
@@ -140,33 +173,45 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def common_words(base: DataFrame, ranks, pattern: str) -> dict[str, bytes]:
+    """Ids of the most frequent words of a sample, within fixed numbers and lengths."""
+    sampled = base.sample(min(1.0, SAMPLE_DOCS / max(base.count(), 1)), seed=7)
+    words = materialize(sampled.select("text").mapInArrow(_count(pattern), "word string, n long")
+                        .groupBy("word").agg(F.sum("n").alias("n")), "words")
+    size = F.octet_length("word")
+    top = (words.filter(size <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).unionByName(
+        words.filter((size > COMMON_BYTES) & (size <= LONG_BYTES)).orderBy(F.desc("n"), "word").limit(LONG_WORDS)))
+    rows = top.mapInArrow(_encode(ranks, pattern), "word string, ids binary").toArrow()
+    return dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded) per row: token ids as little-endian 32-bit numbers and the bytes that they stand for."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.coalesce(text_col, F.lit("")).alias("text"))
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)
-    words = materialize(base.select("text").mapInArrow(_count(pattern), "word string, n long")
-                        .groupBy("word").agg(F.sum("n").alias("n")), "words")
-    coded = materialize(words.mapInArrow(_encode(shared, pattern), "word string, n long, ids binary"), "coded")
-    top = (coded.filter(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-           .select("word", "ids").toArrow())
-    common = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("ids").to_pylist(), strict=True)))
-    keyed = base.withColumn("digest", F.xxhash64("text"))
-    rare = keyed.mapInArrow(_rare(common, pattern), f"id {docs.schema[id_col].dataType.simpleString()}, digest long, place int, word string")
-    back = rare.join(coded.select("word", "ids"), "word").select("id", "digest", "place", "ids")
-    listed = (back.groupBy("id", "digest").agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
-              .withColumnsRenamed({"id": "_id", "digest": "_digest"}))
-    whole = keyed.join(listed, keyed["id"].eqNullSafe(listed["_id"]) & (keyed["digest"] == listed["_digest"]), "left")
+    common = spark.sparkContext.broadcast(common_words(base, shared, pattern))
+    # 32 bits tell rows of one id apart
+    keyed = base.withColumn("digest", F.hash("text"))
+    rare = keyed.mapInArrow(_rare(common, pattern), "id long, digest int, place int, word string")
+    apart = F.when(F.octet_length("word") > LONG_BYTES, F.col("digest"))
+    back = (rare.repartition("word", apart).sortWithinPartitions("word")
+            .mapInArrow(_encode_placed(shared, pattern), "id long, digest int, part binary"))
+    # flat rows are smaller to shuffle than lists; documents are then dealt alike
+    listed = back.repartition("id", "digest").groupBy("id", "digest").agg(F.collect_list("part").alias("rare"))
+    packed = keyed.mapInArrow(_pack, "id long, digest int, text binary")
+    whole = packed.join(listed, ["id", "digest"], "left")
     size = max(ranks.values(), default=-1) + 1
     by_id = [b""] * size
     for token, rank in ranks.items():
         by_id[rank] = token
     tokens = spark.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8),
                                            np.concatenate([[0], np.cumsum([len(t) for t in by_id], dtype=np.int64)])))
-    return whole.select("id", "text", "rare").mapInArrow(
-        _assemble(common, pattern, tokens),
-        f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    done = whole.select("id", "text", "rare").mapInArrow(
+        _assemble(common, pattern, tokens), "id long, ids binary, decoded binary")
+    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "ids", "decoded")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
