@@ -296,6 +296,27 @@ def test_near_passages(docs, rows, no_docs):
     assert compact_windows.near_passages(no_docs).count() == 0
 
 
+def test_near_passages_of_a_middle_document(spark):
+    """A passage that repeats one of many slotted versions word for word, neither the first nor the last of them."""
+    rng, texts, found = np.random.default_rng(11), [], []
+    word = lambda n: ["".join(rng.choice(list("abcdefghijkl"), 7)) for _ in range(n)]
+    for case in range(12):
+        base, versions = word(66), []
+        for _ in range(20):
+            version = base.copy()
+            version[20], version[45] = word(2)
+            versions.append(version)
+            texts.append(word(40) + version + word(40))
+        texts.append(word(30) + versions[9] + word(30))
+        found.append((len(texts) - 1, 30, 96))
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.near_passages(table).collect()}
+    for i, s, e in found:
+        have = [tuple(map(int, x.split(":"))) for x in got[i].spans.split(",") if x]
+        assert any(a <= s and e <= b for a, b in have), (i, have)
+        assert got[i].class_id == got[i - 11].class_id
+
+
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 1 << 63, 400).astype(np.uint64)
