@@ -68,6 +68,27 @@ def test_lines(docs, rows, no_docs):
     assert line_dedup.removed_lines(no_docs).count() == 0
 
 
+def plain_shingles(line):
+    return {line[k:k + line_dedup.LENGTH] for k in range(max(len(line) - line_dedup.LENGTH, 0) + 1)}
+
+
+def removed_of(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.id: r.removed for r in line_dedup.removed_lines(table).collect()}
+
+
+def test_lines_without_blanks(spark):
+    rng = np.random.default_rng(4)
+    encoded = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 300))
+    record = ",".join(str(k) for k in rng.integers(100, 10 ** 6, 60))
+    url = "://data.example.org/" + "/".join("".join(rng.choice(list("abcdefgh"), 9)) for _ in range(20)) + "?id=1"
+    texts = [encoded, encoded[:40] + "x" + encoded[40:], record, "1" + record, "http" + url, "https" + url, encoded[::-1]]
+    assert removed_of(spark, texts) == {1: [0], 3: [0], 5: [0]}
+    for line in [*texts, "", "abc", "日本語の行\r", "\U0001f600 and more of it", "x" * line_dedup.LENGTH]:
+        got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles("line")).first()[0]
+        assert set(got) == (plain_shingles(line) if line else set())
+
+
 def test_personal_data(docs, rows, no_docs):
     field = pii.train(docs)
     got = {(r.doc_id, r.base_sha256): r for r in pii.personal_data(docs, field=field).collect()}
