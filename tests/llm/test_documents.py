@@ -89,6 +89,15 @@ def test_lines_without_blanks(spark):
         assert set(got) == (plain_shingles(line) if line else set())
 
 
+def test_short_lines_with_one_edit(spark):
+    typo = "The committee will publish its next report at the end of this quarter"
+    year = "Copyright (c) 2019 by Example Authors and others, all rights held."
+    least = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVW"
+    assert len(least) == 49
+    texts = [typo, typo.replace("publish", "publiss"), year, year.replace("2019", "2021"), least, least[:24] + "." + least[25:]]
+    assert removed_of(spark, texts) == {1: [0], 3: [0], 5: [0]}
+
+
 def test_personal_data(docs, rows, no_docs):
     field = pii.train(docs)
     got = {(r.doc_id, r.base_sha256): r for r in pii.personal_data(docs, field=field).collect()}
