@@ -382,3 +382,71 @@ def test_pipeline(spark, docs, tmp_path):
             assert current.columns == plain.columns
     assert seen == sorted(seen, reverse=True) and seen[0] < plain.count() and seen[-1] == seen[-2] > 20
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, current.collect()))
+
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@pytest.fixture(scope="module")
+def plain_rows(rows):
+    return Counter(r[:5] for r in rows)
+
+
+def brute_groups(items, sets):
+    """Root of each item; items whose sets have a similarity of 0.8 are linked."""
+    parent = {k: k for k in range(len(items))}
+    for a in range(len(items)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common):
+                unite(parent, a, b)
+    return {x: find(parent, k) for k, x in enumerate(items)}
+
+
+def test_rows_of_quality_stage(spark, docs, plain_rows):
+    got = Counter(tuple(r) for r in corpus_pipeline.quality_rules(spark, docs.select(*COLUMNS), "").collect())
+    kept = {(r.doc_id, r.text) for r in perplexity.with_verdict(perplexity.scored(docs)).filter("_lm_kept").collect()}
+    assert got == Counter({r: n for r, n in plain_rows.items() if (r[0], r[1]) in kept}) and len(got) > 30
+
+
+def test_rows_of_line_stage(spark, docs, plain_rows):
+    got = Counter(tuple(r) for r in corpus_pipeline.line_dedup_stage(spark, docs.select(*COLUMNS), "").collect())
+    texts = sorted({(-1 if r[0] is None else r[0], r[1] or "") for r in plain_rows})
+    lines = sorted({x for _, t in texts for x in t.split("\n") if WORD.search(x)})
+    root, seen, left = brute_groups(lines, [plain_shingles(x) for x in lines]), set(), {}
+    for i, text in texts:
+        kept = []
+        for line in text.split("\n"):
+            if line not in root or root[line] not in seen:
+                kept.append(line)
+            seen.add(root.get(line))
+        left[i, text] = "\n".join(kept)
+    want = Counter()
+    for r, n in plain_rows.items():
+        text = left[-1 if r[0] is None else r[0], r[1] or ""]
+        if text == (r[1] or ""):
+            want[r] += n
+        elif WORD.search(text):
+            want[(r[0], text, *r[2:4], len(text))] += n
+    assert {(r[0], r[1], r[4]) for r in got - want if r[0] is not None} == set()
+    assert {(r[0], r[1], r[4]) for r in want - got if r[0] is not None} == set()
+
+
+def test_rows_of_jaccard_stage(spark, docs, plain_rows):
+    got = Counter(tuple(r) for r in corpus_pipeline.jaccard_join_stage(spark, docs.select(*COLUMNS), "").collect())
+    texts = sorted({r[1] or "" for r in plain_rows})
+    words = [WORD.findall(t) for t in texts]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in words]
+    root, least = brute_groups(texts, sets), {}
+    for r in plain_rows:
+        if r[0] is not None:
+            k = root[r[1] or ""]
+            least[k] = min(r[0], least.get(k, r[0]))
+    want = {r for r in plain_rows if r[0] is not None and (not WORD.search(r[1] or "") or least[root[r[1] or ""]] == r[0])}
+    assert {r for r in got if r[0] is not None} == want and max(got.values()) == 1
+
+
+def test_rows_of_last_stage(spark, docs, rows):
+    pytest.importorskip("public_tokenizers")
+    got = Counter((r[0], r[3]) for r in corpus_pipeline.bpe_stage(spark, docs.select(*COLUMNS), "").collect())
+    assert got == Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
