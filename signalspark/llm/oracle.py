@@ -22,11 +22,12 @@ def _feistel(source: str, number: str, keep: str) -> str:
 
 
 KEEP = "doc_id, size, text_crc32, n, side"
-SHARDS = f"""
-WITH RECURSIVE bits AS (
+CRC_TABLE = """bits AS (
   SELECT range AS i, 0 AS k, range::BIGINT AS c FROM range(256)
   UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
-crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)"""
+SHARDS = f"""
+WITH RECURSIVE {CRC_TABLE},
 bytes AS (
   SELECT doc_id, strlen(text) + 1 AS size,
     list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM ({DOCS})),
@@ -76,4 +77,50 @@ SELECT doc_id, t.source, t.lang, t.topic, tokens::BIGINT AS tokens, round(coales
 FROM tokens t LEFT JOIN mix m ON {same}"""
 
 
-LLM_SQL: dict[str, str] = {"op7_feistel_shards": SHARDS, "op9_raked_mix": _mix(budget=0.5)}
+def _climb(name: str, nodes: str) -> str:
+    """All levels of the trees of ``nodes`` (tree, pos, node, n), by runs of three."""
+    return f"""{name}_up AS (SELECT tree, 0 AS lvl, pos, node, n FROM {nodes}
+  UNION ALL SELECT tree, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM {name}_up
+  WHERE n > 1 GROUP BY tree, lvl, n, pos // 3),
+{name}_runs AS (SELECT tree, lvl, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM {name}_up WHERE n > 1 GROUP BY ALL),
+{name}_paths AS (SELECT l.tree, l.pos, list(array_to_string(nodes[1:k], '') || '|' || array_to_string(nodes[k + 2:], '') ORDER BY lvl) AS path
+  FROM (SELECT l.tree, l.pos, r.lvl, r.nodes, (l.pos // (3 ** r.lvl)::BIGINT) % 3 AS k FROM {nodes} l JOIN {name}_runs r
+        ON r.tree = l.tree AND r.run = l.pos // (3 ** (r.lvl + 1))::BIGINT) l GROUP BY l.tree, l.pos)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+sums AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) AS crc32 FROM documents, crc),
+hashed AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {_leaf('text')} AS node,
+    {_leaf("CASE WHEN crc32 % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS tampered FROM sums),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos,
+  count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+{_climb('low', 'leaves')},
+subroots AS (SELECT '' AS tree, tree AS source, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n
+  FROM low_up WHERE n = 1),
+{_climb('top', 'subroots')},
+proven AS (
+  SELECT doc_id, l.node AS leaf, s.node AS subroot, (SELECT node FROM top_up WHERE n = 1) AS root, tampered,
+    list_concat(coalesce(p.path, []), coalesce(t.path, [])) AS path
+  FROM leaves l JOIN subroots s ON s.source = l.tree LEFT JOIN low_paths p ON p.tree = l.tree AND p.pos = l.pos
+  LEFT JOIN top_paths t ON t.pos = s.pos),
+folds AS (
+  SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(tampered, path), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root
+  FROM proven)
+SELECT *, folded_root = root AS verified FROM folds"""
+
+
+LLM_SQL: dict[str, str] = {"op7_feistel_shards": SHARDS, "op9_raked_mix": _mix(budget=0.5), "op13_merkle_manifest": MERKLE}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chosen_path, compact_windows, line_dedup, mixing, near_vectors, perplexity, pii, sharding, window_dedup
+from signalspark.llm import (bpe, chosen_path, compact_windows, line_dedup, merkle, mixing, near_vectors, perplexity, pii,
+                             sharding, window_dedup)
 from signalspark.llm.streams import modest_batches
 from signalspark.storage import materialize
 
@@ -79,5 +80,13 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(picked, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proven = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": text}, with_path=False)
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_semi_markov_pii, op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
-                                     op9_raked_mix, op10_compact_windows)}
+                                     op9_raked_mix, op10_compact_windows,
+                                     op13_merkle_manifest)}
