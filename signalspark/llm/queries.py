@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.llm import (bpe, chosen_path, compact_windows, conversations, line_dedup, merkle, mixing, near_vectors,
-                             perplexity, pii, sharding, window_dedup)
+                             perplexity, pii, sharding, toxicity, window_dedup)
 from signalspark.llm.streams import modest_batches
 from signalspark.storage import materialize
 
@@ -85,6 +85,10 @@ def op11_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(given, conversations.damaged(given))
 
 
+def op12_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     text = F.when(picked, F.translate("text", "\n", "")).otherwise(F.col("text"))
@@ -94,4 +98,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_semi_markov_pii, op3_perplexity_rules, op4_radix_windows, op5_pca_tiles, op6_chosen_path_join, op7_feistel_shards, op8_distinct_word_bpe,
                                      op9_raked_mix, op10_compact_windows,
-                                     op11_lightest_repair, op13_merkle_manifest)}
+                                     op11_lightest_repair, op12_gru_toxicity, op13_merkle_manifest)}
