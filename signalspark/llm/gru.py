@@ -1,6 +1,6 @@
 """Bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is the embedding of its hash next to the mean embedding of its character
+A word's input is the embedding of its hash next to the summed embeddings of its character
 n-grams, so unseen words of known parts have a meaning too. Both directions run side
 by side over windows of words; attention pools their states into one logit per window.
 All gradients are written out; ``test_toxicity`` compares them with differences.
@@ -35,7 +35,7 @@ def fresh(seed: int = 1) -> Params:
     def draw(*shape, scale):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    return {"word": draw(WORD_BUCKETS, EMBED, scale=0.1), "gram": draw(GRAM_BUCKETS, EMBED, scale=0.3),
+    return {"word": draw(WORD_BUCKETS, EMBED, scale=0.1), "gram": draw(GRAM_BUCKETS, EMBED, scale=0.1),
             "wx": draw(2, d, 3 * h, scale=d**-0.5), "bx": np.zeros((2, 3 * h), np.float32),
             "u": draw(2, h, 3 * h, scale=h**-0.5), "wa": draw(2 * h, a, scale=(2 * h)**-0.5), "ba": np.zeros(a, np.float32),
             "va": draw(a, scale=1.0), "wo": draw(2 * h, scale=0.5), "bo": np.full(1, -3.0, np.float32)}
@@ -78,7 +78,7 @@ def hashed(words: list[str]) -> Words:
 
 def inputs(p: Params, words: Words) -> np.ndarray:
     """(words, 2 * EMBED) inputs of different words."""
-    grams = np.add.reduceat(p["gram"][words.gram], words.start, axis=0) / words.count[:, None]
+    grams = np.add.reduceat(p["gram"][words.gram], words.start, axis=0) / np.sqrt(words.count)[:, None]
     return np.concatenate([p["word"][words.word], grams.astype(p["gram"].dtype)], axis=1)
 
 
@@ -165,13 +165,13 @@ def summed(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def input_gradients(p: Params, words: Words, x: np.ndarray, d_g: np.ndarray) -> Params:
-    """Gradients of the embeddings and of the input weights."""
+def input_gradients(p: Params, words: Words, x: np.ndarray, d_g: np.ndarray, seen: np.ndarray) -> Params:
+    """Gradients of the embeddings and of the input weights; ``seen`` is the mask of the inputs."""
     padded = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
     grad = {"wx": padded.T @ d_g, "bx": d_g.sum(axis=1)}
-    d_x = (d_g @ p["wx"].transpose(0, 2, 1)).sum(axis=0)[:-1]
+    d_x = (d_g @ p["wx"].transpose(0, 2, 1)).sum(axis=0)[:-1] * seen
     grad["word"] = summed(words.word, d_x[:, :EMBED], WORD_BUCKETS)
-    shares = np.repeat(d_x[:, EMBED:] / words.count[:, None], words.count, axis=0)
+    shares = np.repeat(d_x[:, EMBED:] / np.sqrt(words.count)[:, None], words.count, axis=0)
     grad["gram"] = summed(words.gram, shares.astype(x.dtype), GRAM_BUCKETS)
     return grad
 

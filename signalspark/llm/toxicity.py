@@ -5,9 +5,9 @@ into windows of ``WINDOW`` words, ``STRIDE`` apart, to its end. Its score is the
 window's. Labels belong to documents, so training takes a document as toxic if any of
 its windows is (noisy or), and thereby learns which windows are.
 
-Trained on the driver on a bounded sample: of each label the ``TRAIN_DOCS`` documents of
+Trained in one task on a bounded sample: of each label the ``TRAIN_DOCS`` documents of
 least id hash, of each of these at most ``TRAIN_WINDOWS`` windows, evenly drawn from the
-whole text. All texts are scored in Arrow batches, each different word of a batch looked
+whole text. The weights, some two megabytes, go to all tasks. All texts are scored in Arrow batches, each different word of a batch looked
 up once; nothing is shuffled.
 
 Null and empty texts are one window without words. A null id is not held out and has no
@@ -18,6 +18,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ from signalspark.llm import gru
 WINDOW, STRIDE = 32, 16
 #: Bounds of the training sample: documents per label, windows per document.
 TRAIN_DOCS, TRAIN_WINDOWS = 1500, 48
-EPOCHS, RATE, GROUP = 6, 0.01, 24
+#: Steps of the training, of GROUP documents each, whatever the sample's size.
+STEPS, RATE, GROUP, UNKNOWN = 400, 0.01, 24, 0.5
 #: Windows that run through the network at once.
 CHUNK = 4096
 WORD = re.compile(r"\w{1,24}")
@@ -68,29 +70,33 @@ def prepared(texts: list[str], most: int | None = None) -> tuple[list[str], np.n
     return words, windows, np.array(first)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> gru.Params:
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> gru.Params:
     """Network trained by Adam on groups of documents; ``labels`` are 0 and 1."""
     rng = np.random.default_rng(seed)
     p = gru.fresh(seed)
     adam = gru.Adam(p, RATE)
-    steps = epochs * -(-len(texts) // GROUP)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for k in range(0, len(order), GROUP):
-            adam.rate = RATE * (1 - adam.t / steps)
-            mine = order[k:k + GROUP]
-            words, windows, first = prepared([texts[i] for i in mine], TRAIN_WINDOWS)
-            _, grad = loss_and_gradient(p, words, windows, first, labels[mine])
-            size = np.sqrt(sum(float((d * d).sum()) for d in grad.values()))
-            adam.step(p, {name: d * min(1.0, 1.0 / max(size, 1e-9)) for name, d in grad.items()})
+    order = np.zeros(0, int)
+    for step in range(steps):
+        if len(order) < GROUP:
+            order = np.append(order, rng.permutation(len(texts)))
+        mine, order = order[:GROUP], order[GROUP:]
+        adam.rate = RATE * (1 - step / steps)
+        words, windows, first = prepared([texts[i] for i in mine], TRAIN_WINDOWS)
+        # half of the words are known by their characters only, so that rare words are not learned by heart
+        seen = np.ones((len(words), 2 * gru.EMBED), np.float32)
+        seen[rng.random(len(words)) < UNKNOWN, :gru.EMBED] = 0
+        _, grad = loss_and_gradient(p, words, windows, first, labels[mine], seen)
+        size = np.sqrt(sum(float((d * d).sum()) for d in grad.values()))
+        adam.step(p, {name: d * min(1.0, 1.0 / max(size, 1e-9)) for name, d in grad.items()})
     return p
 
 
 def loss_and_gradient(p: gru.Params, words: list[str], windows: np.ndarray, first: np.ndarray,
-                      labels: np.ndarray) -> tuple[float, gru.Params]:
-    """Mean log loss of documents that are toxic if any of their windows is."""
+                      labels: np.ndarray, seen: np.ndarray | None = None) -> tuple[float, gru.Params]:
+    """Mean log loss of documents that are toxic if any of their windows is; ``seen`` masks the words' inputs."""
     known = gru.hashed(words)
-    x = gru.inputs(p, known)
+    seen = np.ones((len(words), 2 * gru.EMBED), p["word"].dtype) if seen is None else seen
+    x = gru.inputs(p, known) * seen
     g = gru.projected(p, x)
     logit, saved = gru.forward(p, g, windows, keep=True)
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(windows))))
@@ -101,7 +107,7 @@ def loss_and_gradient(p: gru.Params, words: list[str], windows: np.ndarray, firs
     d_none = np.where(labels == 1, (1 - some) / some, -1.0) / len(labels)
     d_logit = (-d_none[of] / (1 + np.exp(-logit))).astype(logit.dtype)
     grad, d_g = gru.backward(p, g, saved, d_logit)
-    return float(loss), grad | gru.input_gradients(p, known, x, d_g)
+    return float(loss), grad | gru.input_gradients(p, known, x, d_g, seen)
 
 
 def scores(p: gru.Params, texts: list[str]) -> np.ndarray:
@@ -113,8 +119,8 @@ def scores(p: gru.Params, texts: list[str]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str,
-                    limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to learn from, never those of held-out ids; at most ``limit`` of each label."""
+                    limit: int = TRAIN_DOCS) -> DataFrame:
+    """(_id, _label, _text) to learn from, never held-out ids; at most ``limit`` of each label."""
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label")).withColumn("_hash", F.xxhash64("_id")))
     picked = [known.filter(F.col("_label") == v).orderBy("_hash", "_id").limit(limit).drop("_hash") for v in (0, 1)]
@@ -123,8 +129,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(wanted, "_id")
     # a text is cut to the words that training looks at before it travels; rows of one id are taken once
     cut = found.mapInArrow(_cut, "_id long, _label int, _text string")
-    rows = cut.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).orderBy("_id").toArrow()
-    return rows.column("_text").to_pylist(), rows.column("_label").to_numpy()
+    return cut.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +147,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(texts, pa.string())], names=["_id", "_label", "_text"])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bounded sample to one row: share of toxic labels, and the weights if there are both labels."""
+    rows = pa.Table.from_batches(list(batches), pa.schema(
+        [("_id", pa.int64()), ("_label", pa.int32()), ("_text", pa.string())])).sort_by("_id")
+    labels = rows.column("_label").to_numpy()
+    weights = None
+    if len(set(labels.tolist())) == 2:
+        file = io.BytesIO()
+        np.savez(file, **fit(rows.column("_text").to_pylist(), labels))
+        weights = file.getvalue()
+    yield pa.RecordBatch.from_pylist([{"share": float(labels.mean()) if len(labels) else 0.0, "weights": weights}],
+                                     pa.schema([("share", pa.float64()), ("weights", pa.binary())]))
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        p = dict(np.load(io.BytesIO(shared.value)))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if texts:
@@ -155,13 +174,14 @@ def _score(shared):
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row; ``labels`` (id, ``label`` of 0 or 1)."""
-    texts, truth = training_sample(docs, labels, label, id_col, text_col)
+    sample = training_sample(docs, labels, label, id_col, text_col)
+    model = sample.repartition(1).mapInArrow(_fit, "share double, weights binary").first()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if len(set(truth.tolist())) == 2:
-        shared = docs.sparkSession.sparkContext.broadcast(fit(texts, truth))
+    if model and model.weights:
+        shared = docs.sparkSession.sparkContext.broadcast(bytes(model.weights))
         kind = slim.schema["id"].dataType.simpleString()
         scored = slim.mapInArrow(_score(shared), f"id {kind}, score double")
     else:
-        scored = slim.select("id", F.lit(float(truth.mean()) if len(truth) else 0.0).alias("score"))
+        scored = slim.select("id", F.lit(model.share if model else 0.0).alias("score"))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
