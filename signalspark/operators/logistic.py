@@ -11,7 +11,7 @@ pass. No training set is ever gathered.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 PARTIAL = "model string, part int, n bigint, stats array<double>"
 STATE = "model string, n bigint, beta array<double>, previous array<double>, loss double, done boolean"
+#: Models in a batch that are not finished: id, features and labels of their rows.
+Models = Callable[[pa.RecordBatch, frozenset[str]], Iterator[tuple[str, np.ndarray, np.ndarray]]]
 # Partial rows of one model that one task adds up; each holds the square of the features.
 FAN_IN = 256
 # Fixed value: most steps of a fit. Newton steps converge in some ten; ``converged`` tells if one did not.
@@ -38,7 +40,7 @@ def assemble(rows: DataFrame, features: Sequence[str], keys: Sequence[str],
     return rows.withColumns({
         "model": F.concat_ws("|", *parts),
         "x": F.array(*[F.col(c).cast("double") for c in features]),
-        "y": F.col(label).cast("double")}).drop(*features)
+        "y": F.col(label).cast("double")}).drop(*[f for f in features if f not in ("model", "x", "y")])
 
 
 def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = LOGISTIC_ITERATIONS, tol: float = 1e-9,
@@ -50,12 +52,42 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = LOGISTIC_ITER
     a written table. With more than ``fan_in`` partitions the partial sums are
     added in two levels.
     """
-    rows = train.select("model", "x", "y")
+    return _newton(train.select("model", "x", "y"), _batch_models, c, max_iter, tol, fan_in)
+
+
+def fit_fold_logistic(rows: DataFrame, scales: DataFrame, c: float = 1.0, max_iter: int = LOGISTIC_ITERATIONS,
+                      tol: float = 1e-9, fan_in: int = FAN_IN) -> DataFrame:
+    """``fit_logistic`` over rows that hold a range of folds, read once for all of them.
+
+    ``rows``: ``group, x, y, train_lo, train_hi``; ``scales``: ``group, fold, model, center,
+    divisor``, one row per model, which go to the tasks as the coefficients do.
+    """
+    known: dict[str, list[tuple[int, str, np.ndarray, np.ndarray]]] = {}
+    for r in scales.select("group", "fold", "model", "center", "divisor").collect():
+        known.setdefault(r.group, []).append((r.fold, r.model, np.asarray(r.center), np.asarray(r.divisor)))
+    given = rows.sparkSession.sparkContext.broadcast(known)
+
+    def models(batch: pa.RecordBatch, finished: frozenset[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        y = batch.column("y").to_numpy(zero_copy_only=False)
+        low, high = (batch.column(c).to_numpy() for c in ("train_lo", "train_hi"))
+        for group, mine in _groups(batch, "group"):
+            values = _matrix(batch, mine)
+            for fold, model, center, divisor in given.value.get(group, ()):
+                inside = (low[mine] <= fold) & (fold <= high[mine])
+                if model not in finished and inside.any():
+                    yield model, (values[inside] - center) / divisor, y[mine][inside]
+
+    train = rows.filter("train_lo <= train_hi").select("group", "x", "y", "train_lo", "train_hi")
+    return _newton(train, models, c, max_iter, tol, fan_in)
+
+
+def _newton(rows: DataFrame, models: Models, c: float, max_iter: int, tol: float, fan_in: int) -> DataFrame:
+    """Newton steps of all models that ``models`` finds in the batches of ``rows``."""
     wide = rows.rdd.getNumPartitions() > fan_in
     states: dict[str, Row] = {}
     steps: dict[str, int] = {}
     for _ in range(max_iter):
-        sums = rows.mapInArrow(_partial_sums(states, fan_in), PARTIAL)
+        sums = rows.mapInArrow(_partial_sums(states, fan_in, models), PARTIAL)
         if wide:
             sums = sums.groupBy("model", "part").applyInPandas(_add_up, PARTIAL)
         stepped = sums.groupBy("model").applyInPandas(_newton_step(states, c, tol), STATE).collect()
@@ -63,7 +95,7 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = LOGISTIC_ITER
         steps |= {r.model: steps.get(r.model, 0) + 1 for r in stepped}
         if all(r.done for r in states.values()):
             break
-    return train.sparkSession.createDataFrame(
+    return rows.sparkSession.createDataFrame(
         [(r.model, r.beta[-1], r.beta[:-1], r.n, r.done, steps[r.model]) for r in states.values()],
         "model string, intercept double, coef array<double>, n_train bigint, converged boolean, iterations int")
 
@@ -81,7 +113,28 @@ def predict_logistic(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
         "y_pred": (F.col("_z") > 0).cast("int")}).drop("_z", "coef", "intercept")
 
 
-def _partial_sums(states: dict[str, Row], fan_in: int):
+def _groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Values of a text column, each with the places of its rows."""
+    coded = batch.column(column).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    for code, value in enumerate(coded.dictionary.to_pylist()):
+        yield value, np.flatnonzero(codes == code)
+
+
+def _matrix(batch: pa.RecordBatch, places: np.ndarray) -> np.ndarray:
+    """Features of some rows; groups may differ in their number of features, rows of one group do not."""
+    values = batch.column("x").take(pa.array(places)).flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(places), -1)
+
+
+def _batch_models(batch: pa.RecordBatch, finished: frozenset[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    y = batch.column("y").to_numpy(zero_copy_only=False)
+    for model, mine in _groups(batch, "model"):
+        if model not in finished:
+            yield model, _matrix(batch, mine), y[mine]
+
+
+def _partial_sums(states: dict[str, Row], fan_in: int, models: Models):
     """Arrow mapper: one row of sums per unfinished model present in the partition."""
     betas = {m: np.asarray(r.beta) for m, r in states.items() if not r.done}
     finished = frozenset(m for m, r in states.items() if r.done)
@@ -92,19 +145,9 @@ def _partial_sums(states: dict[str, Row], fan_in: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = batch.column("x")
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            coded = batch.column("model").dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            for code, model in enumerate(coded.dictionary.to_pylist()):
-                if model in finished:
-                    continue
-                # models may differ in their number of features, rows of one model do not
-                mine = codes == code
-                values = x.filter(pa.array(mine)).flatten().to_numpy(zero_copy_only=False)
-                values = values.reshape(int(mine.sum()), -1)
+            for model, values, y in models(batch, finished):
                 design = np.column_stack([values, np.ones(len(values))])
-                stats = _loss_sums(design, y[mine], betas.get(model))
+                stats = _loss_sums(design, y, betas.get(model))
                 totals[model] = totals[model] + stats if model in totals else stats
                 counts[model] = counts.get(model, 0) + design.shape[0]
         if totals:

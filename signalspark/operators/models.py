@@ -12,11 +12,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, standardize
-from signalspark.operators.features import model_matrix
-from signalspark.operators.logistic import LOGISTIC_ITERATIONS, assemble, fit_logistic, predict_logistic
+from signalspark.operators.boosting import BoostParams, binned, fit_boosted, predict_boosted
+from signalspark.operators.fold_table import FoldTable, fold_table
+from signalspark.operators.folds import TEST, TRAIN
+from signalspark.operators.logistic import LOGISTIC_ITERATIONS, fit_fold_logistic, predict_logistic
 from signalspark.params import FoldParams
-from signalspark.storage import materialize, work_dir
+from signalspark.storage import work_dir
 
 # Settings of the boosted trees and the logistic regression.
 TREES, DEPTH, RATE, SEED = 100, 5, 0.1, 42
@@ -24,7 +25,7 @@ PARALLEL_FITS = 10
 
 
 def boosted_trees(n_train: int = 0, **overrides) -> GBTClassifier:
-    """Gradient-boosted trees on ``features`` and ``label``."""
+    """MLlib's gradient-boosted trees on ``features`` and ``label``, for ``cv_estimator``."""
     settings = dict(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=SEED,
                     checkpointInterval=10)
     return GBTClassifier(**(settings | overrides))
@@ -38,20 +39,12 @@ def logistic_regression(n_train: int, c: float = 1.0) -> LogisticRegression:
 
 def fold_rows(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),
               keys: Sequence[str] = (), variant: str = "baseline") -> DataFrame:
-    """Written training table: complete rows, assigned to folds, scaled per fold, assembled.
+    """Complete rows, once per fold and role, scaled per fold and assembled.
 
-    The complete rows are written first, because the fold days, the training
-    statistics and the scaled rows all read them. ``model`` is unique per
-    variant, key and fold, so the tables of several variants can be united.
+    The written table holds each row once; the copies are made where they are read.
+    ``model`` is unique per variant, key and fold.
     """
-    kept = [*keys, "Ticker", "Date", "Target", "fwd_return", *features]
-    matrix = materialize(model_matrix(df, features).select(*kept), "matrix")
-    by = [*keys, "fold"]
-    scaled = standardize(assign_folds(matrix, fold_days(matrix, params)), features, by)
-    named = scaled.withColumn("variant", F.lit(variant))
-    rows = assemble(named, features, ["variant", *by])
-    # rows of one model side by side: the fit then meets few models per Arrow batch
-    return materialize(rows.sortWithinPartitions("model"), "fold_rows")
+    return fold_table(df, features, params, keys, variant).copies()
 
 
 def predictions_of(scored: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
@@ -62,17 +55,16 @@ def predictions_of(scored: DataFrame, keys: Sequence[str], model: str) -> DataFr
         "fwd_return")
 
 
-def cv_logistic_rows(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def cv_logistic_rows(table: FoldTable, keys: Sequence[str] = ()) -> DataFrame:
     """Out-of-fold predictions of logistic regression for every model of a training table."""
-    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
-    scored = predict_logistic(rows.filter(F.col("role") == TEST), fitted)
+    scored = predict_logistic(table.of(TEST), fit_fold_logistic(table.rows, table.scales))
     return predictions_of(scored, [*keys, "fold"], "logistic_regression")
 
 
 def cv_logistic(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),
                 keys: Sequence[str] = (), variant: str = "baseline") -> DataFrame:
     """Out-of-fold predictions of logistic regression, all folds and keys fitted together."""
-    return cv_logistic_rows(fold_rows(df, features, params, keys, variant), keys)
+    return cv_logistic_rows(fold_table(df, features, params, keys, variant), keys)
 
 
 def fit_per_fold(rows: DataFrame, make_estimator: Callable[[int], Estimator],
@@ -124,19 +116,21 @@ def cv_estimator(df: DataFrame, features: Sequence[str], make_estimator: Callabl
                              model, keys)
 
 
-def cv_boosted(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),
-               keys: Sequence[str] = (), variant: str = "baseline", **overrides) -> DataFrame:
-    """Out-of-fold predictions of gradient-boosted trees."""
-    return cv_estimator(df, features, lambda n: boosted_trees(n, **overrides), params, keys,
-                        variant, "boosted_trees")
+def cv_boosted_rows(table: FoldTable, keys: Sequence[str] = (), params: BoostParams = BoostParams()) -> DataFrame:
+    """Out-of-fold predictions of gradient-boosted trees, all models of a training table grown together."""
+    rows = binned(table)
+    scored = predict_boosted(table, fit_boosted(table, params, rows=rows), rows)
+    return predictions_of(scored, [*keys, "fold"], "boosted_trees")
 
 
-def _boosted_rows(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return cv_estimator_rows(rows, boosted_trees, "boosted_trees", keys)
+def cv_boosted(df: DataFrame, features: Sequence[str], params: FoldParams = FoldParams(),
+               keys: Sequence[str] = (), variant: str = "baseline", **overrides) -> DataFrame:
+    """Out-of-fold predictions of gradient-boosted trees; ``overrides`` are fields of ``BoostParams``."""
+    return cv_boosted_rows(fold_table(df, features, params, keys, variant), keys, BoostParams(**overrides))
 
 
 #: Models by name: training table and keys to out-of-fold predictions.
-MODELS: dict[str, Callable[..., DataFrame]] = {"logistic_regression": cv_logistic_rows, "boosted_trees": _boosted_rows}
+MODELS: dict[str, Callable[..., DataFrame]] = {"logistic_regression": cv_logistic_rows, "boosted_trees": cv_boosted_rows}
 
 
 def coefficient_importance(coefficients: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -14,13 +14,16 @@ from signalspark.functions.text import tag_entity
 from signalspark.operators.align import align_news
 from signalspark.operators.attribution import (
     compare_importance, fitted_attribution, top_features)
+from signalspark.operators.boosting import binned, boosted_importance, fit_boosted
 from signalspark.operators.daily import apply_decay, daily_sentiment, with_normalized_time
 from signalspark.operators.features import (
     add_target, feature_names, technical_table, with_sentiment)
-from signalspark.operators.folds import TEST, TRAIN
-from signalspark.operators.logistic import fit_logistic
+from signalspark.operators.fold_table import FoldTable, fold_table, united
+from signalspark.operators.folds import TEST
+from signalspark.operators.logistic import fit_fold_logistic
 from signalspark.operators.metrics import compare
-from signalspark.operators.models import MODELS, boosted_trees, fit_per_fold, fold_rows, tree_importance
+from signalspark.operators.models import MODELS
+from signalspark.operators.tree_shap import tree_attribution, tree_contributions
 from signalspark.params import StudyParams
 from signalspark.plans import report as rep
 from signalspark.plans import sweep as sw
@@ -38,6 +41,7 @@ class Study:
     params: StudyParams = field(default_factory=StudyParams)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     feature_names: dict[str, list[str]] = field(default_factory=dict)
+    folds: dict[str, FoldTable] = field(default_factory=dict)
 
     def prepare(self, bars: DataFrame, news: DataFrame,
                 keywords: Mapping[str, Sequence[str]] | None = None,
@@ -62,7 +66,7 @@ class Study:
         self.tables["daily"] = daily_sentiment(self.tables["scored"])
         return self
 
-    def sweep(self, model: str = "logistic_regression") -> "Study":
+    def sweep(self, model: str = "boosted_trees") -> "Study":
         """All decay configurations judged by one model; the best one becomes the decay of the study."""
         p = self.params
         daily = sw.sweep_daily(self.tables["scored"], p.sweep)
@@ -98,10 +102,10 @@ class Study:
         for v in variants:
             table = self.features(v)
             names = feature_names(table.columns, VARIANTS[v] is not None)
-            self.tables[f"rows_{v}"] = fold_rows(table, names, self.params.folds, variant=v)
+            self.folds[v] = fold_table(table, names, self.params.folds, variant=v)
             self.feature_names[v] = names
-            parts.append(self.tables[f"rows_{v}"])
-        rows = reduce(DataFrame.unionByName, parts)
+            parts.append(self.folds[v])
+        rows = united(parts)
         predictions = reduce(DataFrame.unionByName, [MODELS[m](rows) for m in models])
         self.tables["predictions"] = materialize(predictions, "predictions")
         return self
@@ -118,25 +122,31 @@ class Study:
         """Mean absolute attribution of the logistic models over all test rows of all folds, side by side."""
         shares = {}
         for v in (baseline, other):
-            rows = self.tables[f"rows_{v}"]
-            fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
-            parts = fitted_attribution(rows.filter(F.col("role") == TEST), fitted, self.feature_names[v])
+            table = self.folds[v]
+            fitted = fit_fold_logistic(table.rows, table.scales)
+            parts = fitted_attribution(table.of(TEST), fitted, self.feature_names[v])
             shares[v] = materialize(parts.groupBy("feature").agg(F.avg("importance").alias("importance")), "importance")
         self.tables |= {"importance": compare_importance(shares[baseline], shares[other]),
                         "top_features": top_features(shares[other])}
         return self
 
-    def explain_trees(self, variant: str = "decay_sentiment") -> "Study":
-        """Importance of each feature in the boosted trees, averaged over the folds."""
-        trees = fit_per_fold(self.tables[f"rows_{variant}"], boosted_trees)
-        shares = tree_importance(self.tables["technical"].sparkSession, trees, self.feature_names[variant])
-        self.tables["tree_importance"] = shares.groupBy("feature").agg(F.avg("importance").alias("importance"))
+    def explain_trees(self, baseline: str = "baseline", other: str = "decay_sentiment") -> "Study":
+        """Mean absolute exact attribution of the boosted trees, side by side, and the share of their gain."""
+        shares = {}
+        for v in (baseline, other):
+            table, names = self.folds[v], self.feature_names[v]
+            rows = binned(table)
+            fitted = fit_boosted(table, rows=rows)
+            parts = tree_attribution(tree_contributions(table, fitted, rows), names)
+            shares[v] = materialize(parts.groupBy("feature").agg(F.avg("importance").alias("importance")), "importance")
+        gains = boosted_importance(fitted, names).groupBy("feature").agg(F.avg("importance").alias("importance"))
+        self.tables |= {"tree_attribution": compare_importance(shares[baseline], shares[other]), "tree_importance": gains}
         return self
 
     def run(self, scorer: Scorer, skip: Sequence[str] = ()) -> "Study":
         """All steps after ``prepare``; ``skip`` names steps to leave out, such as sweep or explain."""
         steps = {"score": lambda: self.score(scorer), "sweep": self.sweep, "train": self.train,
-                 "evaluate": self.evaluate, "explain": self.explain}
+                 "evaluate": self.evaluate, "explain": self.explain, "explain_trees": self.explain_trees}
         unknown = set(skip) - set(steps)
         if unknown:
             raise ValueError(f"no such steps: {sorted(unknown)}")
@@ -149,7 +159,7 @@ class Study:
         """Write the report tables."""
         tables = {n: self.tables.get(n) for n in
                   ("comparison", "grid_summary", "curve", "best_config", "findings", "importance",
-                   "top_features", "tree_importance")}
+                   "top_features", "tree_attribution", "tree_importance")}
         if "comparison" in self.tables:
             tables["metrics"] = rep.compared_metrics(self.tables["comparison"])
         if "scored" in self.tables:

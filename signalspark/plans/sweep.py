@@ -18,8 +18,9 @@ from signalspark.operators.daily import (
     KEYS, SCORE, TIME_01, weighted_moments, with_normalized_time)
 from signalspark.operators.features import (
     TICKER, add_sentiment_features, feature_names, fill_features)
+from signalspark.operators.fold_table import fold_table
 from signalspark.operators.metrics import compare
-from signalspark.operators.models import MODELS, fold_rows
+from signalspark.operators.models import MODELS
 from signalspark.operators.recurrence import decaying_sum
 from signalspark.params import FoldParams, SweepParams, TradingParams
 
@@ -105,15 +106,15 @@ def sweep_feature_table(technical: DataFrame, daily: DataFrame,
 
 
 def sweep_predictions(technical: DataFrame, daily: DataFrame, params: SweepParams = SweepParams(),
-                      folds: FoldParams = FoldParams(), model: str = "logistic_regression") -> DataFrame:
+                      folds: FoldParams = FoldParams(), model: str = "boosted_trees") -> DataFrame:
     """Out-of-fold predictions of every configuration by one of ``MODELS``.
 
-    ``technical`` is the written table of technical features with target. The
-    logistic models are fitted together, boosted trees one by one from a few threads.
+    ``technical`` is the written table of technical features with target. All
+    models, (configuration, fold) pairs, are fitted together.
     """
     table = sweep_feature_table(technical, daily, params)
     features = feature_names(table.columns)
-    rows = fold_rows(table, features, folds, ["config_id"], "decay_sentiment")
+    rows = fold_table(table, features, folds, ["config_id"], "decay_sentiment")
     return MODELS[model](rows, ["config_id"])
 
 

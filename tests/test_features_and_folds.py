@@ -142,3 +142,25 @@ def test_scaling_uses_training_rows_only(spark):
         assert sum(train) == pytest.approx(0, abs=1e-9)
         assert sum(v * v for v in train) / len(train) == pytest.approx(1)
     assert {round(r.c, 9) for r in out.collect()} == {0.0}
+
+
+@pytest.mark.parametrize("p", [FoldParams(10, 3, 2), FoldParams(10, 3, 6), FoldParams(9, 4, 1)])
+def test_fold_table_holds_every_row_once(spark, p):
+    from signalspark.operators.fold_table import fold_table
+
+    # prices far from 0, a constant, and a group that has no rows on some days, even at the edges of folds
+    rows = days(spark, 20).withColumns({
+        "g": F.explode(F.array(F.lit("all"), F.lit("some"), F.lit(None).cast("string"))), "Ticker": F.lit("A"), "fwd_return": F.lit(0.1),
+        "Target": F.day("Date") % 2, "x": F.pow(F.day("Date").cast("double"), 2) + 1e6, "c": F.lit(0.1)})
+    rows = rows.filter("g is distinct from 'some' or day(Date) % 4 = 2")
+    table = fold_table(rows, ["x", "c"], p, ["g"])
+    assert table.rows.count() == rows.join(fold_days(rows, p).select("Date").distinct(), "Date").count()
+    want = standardize(assign_folds(rows.fillna("-", "g"), fold_days(rows, p)), ["x", "c"], ["g", "fold"])
+    key = lambda r: (r.g or "-", r.fold, r.role, r.Date)
+    want = {key(r): (r.x, r.c) for r in want.collect()}
+    got = {key(r): tuple(r.x) for r in table.copies().collect()}
+    assert got.keys() == want.keys()
+    for k, (x, c) in got.items():
+        assert (x, c) == (pytest.approx(want[k][0], abs=1e-6), 0.0)
+    models = {r.model: r.n_train for r in table.scales.collect()}
+    assert sum(models.values()) == sum(k[2] == "train" for k in want) and len(models) == len({k[:2] for k in want if k[2] == "train"})

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from signalspark.operators import attribution, metrics
 from signalspark.operators import models as mod
-from signalspark.operators.logistic import assemble, fit_logistic, predict_logistic
+from signalspark.operators.fold_table import fold_table
+from signalspark.operators.logistic import assemble, fit_fold_logistic, fit_logistic, predict_logistic
 from signalspark.operators.ordered import auc, exact_quantiles
 from signalspark.params import FoldParams
 from signalspark.plans import report
@@ -137,6 +138,16 @@ def test_sums_in_two_levels_give_the_same_fit(spark):
     assert two.coef == pytest.approx(one.coef) and two.n_train == one.n_train == 200
 
 
+def test_folds_inside_the_mapper_give_the_same_fit(spark):
+    df = training_rows(spark).withColumn("g", F.when(F.col("a") > 0, "up").otherwise("all"))
+    table = fold_table(df, ["a", "b"], FoldParams(40, 10, 6), ["g"])
+    single = {r.model: r for r in fit_logistic(table.of("train")).collect()}
+    joint = {r.model: r for r in fit_fold_logistic(table.rows.repartition(5), table.scales, fan_in=2).collect()}
+    assert joint.keys() == single.keys() and len(joint) == 12
+    for name, r in joint.items():
+        assert r.coef == pytest.approx(single[name].coef, abs=1e-7) and r.n_train == single[name].n_train and r.converged
+
+
 def test_predictions_and_comparison(spark):
     out = mod.cv_logistic(training_rows(spark), ["a", "b"], PARAMS).cache()
     assert out.count() == 3 * 10 * 4

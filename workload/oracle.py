@@ -533,6 +533,14 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT f.fold, r.Ticker, r.Date, CAST(r.Target AS INTEGER) AS y_true, 1 AS sound FROM complete r "
         "JOIN fold_days f ON f.Date = r.Date WHERE f.role = 'test'",
         fold_source="SELECT Date FROM complete", **ROWS),
+    "cv_gbt_keys": sql(
+        "SELECT f.fold, r.Ticker, r.Date, CAST(r.Target AS INTEGER) AS y_true, 1 AS sound FROM complete r "
+        "JOIN fold_days f ON f.Date = r.Date WHERE f.role = 'test'",
+        fold_source="SELECT Date FROM complete", **ROWS),
+    "tree_attribution_sums": sql(
+        "SELECT f.fold, r.Ticker, r.Date, 4 AS n_features, 1 AS sound FROM complete r "
+        "JOIN fold_days f ON f.Date = r.Date WHERE f.role = 'test'",
+        fold_source="SELECT Date FROM complete", **ROWS),
     "logistic_gradient": sql(
         "SELECT f.fold, count(*) AS n_train, CAST(0.0 AS DOUBLE) AS gradient FROM complete r "
         "JOIN fold_days f ON f.Date = r.Date WHERE f.role = 'train' GROUP BY f.fold",

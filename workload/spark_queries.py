@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from signalspark.functions.clock import normalized_time
 from signalspark.functions.decay import ExponentialDecay, HalfLifeDecay, LinearDecay
 from signalspark.functions.text import clean_text, score_from_probs, tag_entity, text_key
-from signalspark.operators import attribution, features as feat, indicators as ind, metrics
+from signalspark.operators import attribution, boosting, features as feat, indicators as ind, metrics
 from signalspark.operators import models as mod
-from signalspark.operators import scoring
+from signalspark.operators import scoring, tree_shap
 from signalspark.operators.align import align_news
 from signalspark.operators.daily import (
     daily_mean, daily_sentiment, decay_daily, half_life_memory, intraday_sentiment,
     weighted_variance, with_normalized_time)
-from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days, standardize
-from signalspark.operators.logistic import fit_logistic, predict_logistic
+from signalspark.operators.fold_table import FoldTable, fold_table
+from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days
+from signalspark.operators.logistic import fit_fold_logistic, predict_logistic
 from signalspark.operators.ordered import auc
 from signalspark.operators.tagging import tag_by_dictionary
 from signalspark.plans import report, sweep
@@ -253,9 +254,8 @@ def _technical_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def fold_standardize(s: SparkSession, d: str) -> DataFrame:
-    rows = _technical_rows(s, d)
-    scaled = standardize(assign_folds(rows, fold_days(rows)), FEATURES, ["fold"])
-    return rounded(scaled.select("fold", "role", "Ticker", "Date", *FEATURES))
+    scaled = mod.fold_rows(_technical_rows(s, d), FEATURES)
+    return rounded(scaled.select("fold", "role", "Ticker", "Date", *[F.col("x")[i].alias(c) for i, c in enumerate(FEATURES)]))
 
 
 # --- metrics over the rule predictions ---
@@ -368,10 +368,10 @@ def best_config(s: SparkSession, d: str) -> DataFrame:
     return rounded(sweep.best_config(_signal_quality(s, d)))
 
 
-def _sweep_metrics(s: SparkSession, d: str) -> DataFrame:
+def _sweep_metrics(s: SparkSession, d: str, model: str = "logistic_regression") -> DataFrame:
     market, daily = _sweep_tables(s, d)
     technical = materialize(feat.technical_table(market), "technical")
-    predictions = sweep.sweep_predictions(technical, daily)
+    predictions = sweep.sweep_predictions(technical, daily, model=model)
     return sweep.sweep_metrics(materialize(predictions, "sweep_predictions"))
 
 
@@ -379,6 +379,11 @@ def sweep_cv(s: SparkSession, d: str) -> DataFrame:
     return rounded(_sweep_metrics(s, d))
 
 
+def sweep_boosted(s: SparkSession, d: str) -> DataFrame:
+    """The sweep judged by boosted trees, its default: a model per configuration and fold."""
+    return rounded(_sweep_metrics(s, d, "boosted_trees"))
+
+
 def sweep_curve(s: SparkSession, d: str) -> DataFrame:
     return rounded(sweep.sweep_curve(_sweep_metrics(s, d)))
 
@@ -399,9 +404,9 @@ def cv_logistic_keys(s: SparkSession, d: str) -> DataFrame:
 
 def logistic_gradient(s: SparkSession, d: str) -> DataFrame:
     """Optimality of every fold's logistic fit: training rows, and the largest gradient component, which is 0."""
-    rows = mod.fold_rows(_technical_rows(s, d), FEATURES).filter(F.col("role") == TRAIN)
-    fitted = fit_logistic(rows)
-    scored = predict_logistic(rows, fitted).select("model", "fold", (F.col("proba") - F.col("y")).alias("miss"),
+    table = fold_table(_technical_rows(s, d), FEATURES)
+    fitted = fit_fold_logistic(table.rows, table.scales)
+    scored = predict_logistic(table.of(TRAIN), fitted).select("model", "fold", (F.col("proba") - F.col("y")).alias("miss"),
                                                    F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("at", "value"))
     sums = scored.groupBy("model", "fold", "at").agg(F.sum(F.col("miss") * F.col("value")).alias("g"), F.count(F.lit(1)).alias("n"))
     beta = F.concat("coef", F.array(F.lit(0.0)))  # the intercept has no penalty
@@ -422,26 +427,51 @@ def cv_gbt(s: SparkSession, d: str) -> DataFrame:
 
 
 def model_importance(s: SparkSession, d: str) -> DataFrame:
-    rows = mod.fold_rows(_technical_rows(s, d), FEATURES)
-    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
-    return rounded(mod.coefficient_importance(fitted, FEATURES))
+    table = fold_table(_technical_rows(s, d), FEATURES)
+    return rounded(mod.coefficient_importance(fit_fold_logistic(table.rows, table.scales), FEATURES))
 
 
 def model_attribution(s: SparkSession, d: str) -> DataFrame:
     """Attribution of every fold's logistic model over its test rows."""
-    rows = mod.fold_rows(_technical_rows(s, d), FEATURES)
-    fitted = fit_logistic(rows.filter(F.col("role") == TRAIN))
-    return rounded(attribution.fitted_attribution(rows.filter(F.col("role") == TEST), fitted, FEATURES))
+    table = fold_table(_technical_rows(s, d), FEATURES)
+    fitted = fit_fold_logistic(table.rows, table.scales)
+    return rounded(attribution.fitted_attribution(table.of(TEST), fitted, FEATURES))
+
+
+def _boosted(s: SparkSession, d: str) -> tuple[FoldTable, DataFrame, DataFrame]:
+    """Training table, fitted trees and binned rows of the technical features."""
+    table = fold_table(_technical_rows(s, d), FEATURES)
+    rows = boosting.binned(table)
+    return table, boosting.fit_boosted(table, rows=rows), rows
+
 
+def boosted_importance(s: SparkSession, d: str) -> DataFrame:
+    return rounded(boosting.boosted_importance(_boosted(s, d)[1], FEATURES))
 
-#: The study runs all models by default. Thirty boosted fits of 100 trees take over seven minutes here, so
-#: the registered studies run one model, and ``cv_gbt`` and ``sampled_shapley`` the boosted trees.
-QUERY_MODELS = ("logistic_regression",)
+
+def tree_attribution_query(s: SparkSession, d: str) -> DataFrame:
+    """Exact attribution of every fold's boosted trees over its test rows."""
+    return rounded(tree_shap.tree_attribution(tree_shap.tree_contributions(*_boosted(s, d)), FEATURES))
+
+
+def tree_attribution_sums(s: SparkSession, d: str) -> DataFrame:
+    """What the data alone determine of the attributions: each test row, whose contributions add up to its margin."""
+    parts = tree_shap.tree_contributions(*_boosted(s, d))
+    total = F.aggregate("phi", F.col("base"), lambda a, v: a + v)
+    sound = (F.abs(total - F.col("margin")) < 1e-9).cast("int")
+    return parts.select("fold", "Ticker", "Date", F.size("phi").alias("n_features"), sound.alias("sound"))
+
+
+def cv_gbt_keys(s: SparkSession, d: str) -> DataFrame:
+    """Rows that the boosted trees predict in each fold, and their truth."""
+    out = mod.cv_boosted(_technical_rows(s, d), FEATURES)
+    sound = (F.col("proba").between(0, 1) & ((F.col("proba") > 0.5) == (F.col("y_pred") == 1))).cast("int")
+    return out.select("fold", "Ticker", "Date", "y_true", sound.alias("sound"))
 
 
 def variant_comparison(s: SparkSession, d: str) -> DataFrame:
     study = _study(s, d, v.news)
-    return rounded(study.train(models=QUERY_MODELS).evaluate().tables["comparison"])
+    return rounded(study.train().evaluate().tables["comparison"])
 
 
 def _study(s: SparkSession, d: str, news: Callable[[SparkSession, str], DataFrame]) -> Study:
@@ -456,7 +486,7 @@ def _study(s: SparkSession, d: str, news: Callable[[SparkSession, str], DataFram
 def end_to_end(s: SparkSession, d: str) -> DataFrame:
     """Documents to findings: dedupe, tag, align, score, sweep, train, evaluate."""
     study = _study(s, d, v.document_news)
-    return rounded(study.sweep().train(models=QUERY_MODELS).evaluate().tables["comparison"])
+    return rounded(study.sweep().train().evaluate().tables["comparison"])
 
 
 # --- attribution and report ---
@@ -593,6 +623,7 @@ QUERIES: dict[str, Query] = {
     "grid_summary": grid_summary,
     "best_config": best_config,
     "sweep_cv": sweep_cv,
+    "sweep_boosted": sweep_boosted,
     "sweep_curve": sweep_curve,
     "score_from_probs": score_from_probs_query,
     "score_lexicon": score_lexicon,
@@ -601,6 +632,10 @@ QUERIES: dict[str, Query] = {
     "cv_logistic": cv_logistic,
     "cv_gbt": cv_gbt,
     "cv_logistic_keys": cv_logistic_keys,
+    "cv_gbt_keys": cv_gbt_keys,
+    "boosted_importance": boosted_importance,
+    "tree_attribution": tree_attribution_query,
+    "tree_attribution_sums": tree_attribution_sums,
     "logistic_gradient": logistic_gradient,
     "score_model_totals": score_model_totals,
     "model_importance": model_importance,
