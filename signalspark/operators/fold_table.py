@@ -9,11 +9,13 @@ where a row is read, in the task that reads it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.operators.features import model_matrix
@@ -61,9 +63,11 @@ def fold_table(df: DataFrame, features: Sequence[str], params: FoldParams = Fold
     # one row per calendar day of the folds
     placed = matrix.join(F.broadcast(fold_ranges(matrix, params)), "Date").withColumn("variant", F.lit(variant))
     rows = assemble(placed, features, ["variant", *keys]).withColumnRenamed("model", "group")
-    # rows of one group side by side: a fit then meets few groups per Arrow batch
-    table = materialize(rows.sortWithinPartitions("group", "day_idx"), "fold_table")
-    return FoldTable(table, materialize(fold_scales(table, len(features), params), "fold_scales"))
+    # ranges of (group, day): a pass then sends few partial sums per model, and a large group is still many tasks.
+    # The number is given, as a pass has more work per byte than adaptive execution would merge partitions for
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = materialize(rows.repartitionByRange(parts, "group", "day_idx").sortWithinPartitions("group", "day_idx"), "fold_table")
+    return FoldTable(table, materialize(fold_scales(table), "fold_scales"))
 
 
 def united(tables: Sequence[FoldTable]) -> FoldTable:
@@ -71,59 +75,76 @@ def united(tables: Sequence[FoldTable]) -> FoldTable:
     return FoldTable(*(reduce(DataFrame.unionByName, [getattr(t, part) for t in tables]) for part in ("rows", "scales")))
 
 
-def fold_scales(rows: DataFrame, width: int, params: FoldParams) -> DataFrame:
+PIECES = ("group string, day_idx int, train_lo int, train_hi int, n bigint, "
+          "moments array<struct<mean:double,squares:double>>")
+
+
+def day_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow mapper: count, mean and squared deviations of each feature per group and day of a batch."""
+    for batch in batches:
+        coded = batch.column("group").dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        day, low, high = (batch.column(c).to_numpy() for c in ("day_idx", "train_lo", "train_hi"))
+        for code, group in enumerate(coded.dictionary.to_pylist()):
+            mine = np.flatnonzero(codes == code)
+            mine = mine[np.argsort(day[mine], kind="stable")]
+            x = batch.column("x").take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+            _, first = np.unique(day[mine], return_index=True)
+            n = np.diff(np.append(first, len(mine)))
+            mean = np.add.reduceat(x, first) / n[:, None]
+            squares = np.add.reduceat((x - np.repeat(mean, n, axis=0)) ** 2, first)
+            at = mine[first]
+            pairs = pa.StructArray.from_arrays([pa.array(mean.ravel()), pa.array(squares.ravel())], ["mean", "squares"])
+            moments = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * len(n), pa.string()), *[pa.array(v[at], pa.int32()) for v in (day, low, high)], pa.array(n, pa.int64()),
+                 moments], names=["group", "day_idx", "train_lo", "train_hi", "n", "moments"])
+
+
+def fold_scales(rows: DataFrame) -> DataFrame:
     """(group, fold, model, n_train, center, divisor) of every fold's training days.
 
-    Per day: count, mean and squared deviations of each feature. They are added along
-    the days as deviations from the mean of the whole group, so that differences of the
-    running sums keep their digits. A constant feature has divisor 1.
+    Moments of days, in one piece or several, are added along the days as deviations from
+    the mean of the whole group, so that differences of the running sums keep their
+    digits. A constant feature has divisor 1.
     """
-    train = rows.filter("train_lo <= train_hi")
-    at = lambda i: F.element_at("x", i + 1)
-    daily = train.groupBy("group", "day_idx", "train_lo", "train_hi").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(at(i)).alias(f"m{i}") for i in range(width)],
-        *[F.var_pop(at(i)).alias(f"v{i}") for i in range(width)])
-    whole = Window.partitionBy("group")
+    days = ["group", "day_idx", "train_lo", "train_hi"]
+    daily = (rows.filter("train_lo <= train_hi").select(*days, "x").mapInArrow(day_moments, PIECES)
+             .select(*days, "n", F.posexplode("moments").alias("pos", "_m")).select(*days, "n", "pos", "_m.*"))
+    whole = Window.partitionBy("group", "pos")
     along = whole.orderBy("day_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.col("n")
-    shifted = daily.select("*", *[(F.sum(n * F.col(f"m{i}")).over(whole) / F.sum(n).over(whole)).alias(f"s{i}") for i in range(width)])
-    off = [F.col(f"m{i}") - F.col(f"s{i}") for i in range(width)]
-    sums = shifted.select(
-        "group", "day_idx", "train_lo", "train_hi", *[f"s{i}" for i in range(width)], F.sum(n).over(along).alias("N"),
-        *[F.sum(n * off[i]).over(along).alias(f"A{i}") for i in range(width)],
-        *[F.sum(n * (F.col(f"v{i}") + off[i] * off[i])).over(along).alias(f"B{i}") for i in range(width)])
-    return _differences(sums, width).select(
-        "group", "fold", F.concat_ws("|", "group", F.col("fold").cast("string")).alias("model"), F.col("N").alias("n_train"),
-        F.array(*[_center(i) for i in range(width)]).alias("center"),
-        F.array(*[_divisor(i) for i in range(width)]).alias("divisor"))
-
-
-def _differences(sums: DataFrame, width: int) -> DataFrame:
+    n, off = F.col("n"), F.col("mean") - F.col("shift")
+    shift = F.sum(n * F.col("mean")).over(whole) / F.sum(n).over(whole)
+    sums = daily.withColumn("shift", shift).select(
+        *days, "pos", "shift", F.sum(n).over(along).alias("n"), F.sum(n * off).over(along).alias("s1"),
+        F.sum(F.col("squares") + n * off * off).over(along).alias("s2"))
+    mean = F.col("s1") / F.col("n")
+    center = F.col("shift") + mean
+    spread = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
+    divisor = F.when(spread > F.abs(center) * F.lit(1e-12), spread).otherwise(F.lit(1.0))
+    each = _differences(sums).select("group", "fold", "n", F.struct("pos", center.alias("center"), divisor.alias("divisor")).alias("e"))
+    return (each.groupBy("group", "fold").agg(F.first("n").alias("n_train"), F.array_sort(F.collect_list("e")).alias("e"))
+            .select("group", "fold", F.concat_ws("|", "group", F.col("fold").cast("string")).alias("model"), "n_train",
+                    F.col("e.center").alias("center"), F.col("e.divisor").alias("divisor")))
+
+
+def _differences(sums: DataFrame) -> DataFrame:
     """Sums over the training days of each fold, from running sums over the days that a group has.
 
     Folds go on by the day, so the last day of a fold is the last one that names it, and
     the days before the fold are those before the first one that names it.
     """
-    order = Window.partitionBy("group").orderBy("day_idx")
-    names = ["N", *[f"{c}{i}" for c in "AB" for i in range(width)]]
-    before = [F.coalesce(F.lag(c).over(order), F.lit(0)).alias(f"_{c}") for c in names]
+    order = Window.partitionBy("group", "pos").orderBy("day_idx")
+    names = ("n", "s1", "s2")
     folds = F.sequence("train_lo", "train_hi")
     opened = F.coalesce(F.lag("train_hi").over(order), F.lit(-1))
     closed = F.coalesce(F.lead("train_lo").over(order), F.lit(2**31 - 1))
-    edges = sums.select("*", *before, F.filter(folds, lambda f: f > opened).alias("_first"),
-                        F.filter(folds, lambda f: f < closed).alias("_last"))
-    shifts = [f"s{i}" for i in range(width)]
-    ends = edges.select("group", *shifts, F.explode("_last").alias("fold"), *names)
-    starts = edges.select("group", *shifts, F.explode("_first").alias("fold"), *[(-F.col(f"_{c}")).alias(c) for c in names])
-    return (ends.unionByName(starts).groupBy("group", "fold")
-            .agg(*[F.sum(c).alias(c) for c in names], *[F.first(c).alias(c) for c in shifts]))
-
-
-def _center(i: int) -> Column:
-    return F.col(f"s{i}") + F.col(f"A{i}") / F.col("N")
-
-
-def _divisor(i: int) -> Column:
-    mean = F.col(f"A{i}") / F.col("N")
-    spread = F.sqrt(F.greatest(F.col(f"B{i}") / F.col("N") - mean * mean, F.lit(0.0)))
-    return F.when(spread > F.abs(_center(i)) * F.lit(1e-12), spread).otherwise(F.lit(1.0))
+    edges = sums.select("*", *[F.coalesce(F.lag(c).over(order), F.lit(0)).alias(f"_{c}") for c in names],
+                        opened.alias("_opened"), closed.alias("_closed"))
+    # each row ends the folds that the next one does not name, and begins those that the one before does not
+    change = lambda sign, before: lambda f: F.struct(
+        f.alias("fold"), *[(sign * F.col(before + c)).alias(c) for c in names])
+    ends = F.transform(F.filter(folds, lambda f: f < F.col("_closed")), change(1, ""))
+    starts = F.transform(F.filter(folds, lambda f: f > F.col("_opened")), change(-1, "_"))
+    changes = edges.select("group", "pos", "shift", F.inline(F.concat(ends, starts)))
+    return changes.groupBy("group", "pos", "fold", "shift").agg(*[F.sum(c).alias(c) for c in names])

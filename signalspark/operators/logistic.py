@@ -84,13 +84,16 @@ def fit_fold_logistic(rows: DataFrame, scales: DataFrame, c: float = 1.0, max_it
 def _newton(rows: DataFrame, models: Models, c: float, max_iter: int, tol: float, fan_in: int) -> DataFrame:
     """Newton steps of all models that ``models`` finds in the batches of ``rows``."""
     wide = rows.rdd.getNumPartitions() > fan_in
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     states: dict[str, Row] = {}
     steps: dict[str, int] = {}
     for _ in range(max_iter):
         sums = rows.mapInArrow(_partial_sums(states, fan_in, models), PARTIAL)
         if wide:
             sums = sums.groupBy("model", "part").applyInPandas(_add_up, PARTIAL)
-        stepped = sums.groupBy("model").applyInPandas(_newton_step(states, c, tol), STATE).collect()
+        # the number is given: a step is much work for few bytes
+        dealt = sums.repartition(parts, "model").sortWithinPartitions("model")
+        stepped = dealt.mapInArrow(_newton_step(states, c, tol), STATE).collect()
         states |= {r.model: r for r in stepped}
         steps |= {r.model: steps.get(r.model, 0) + 1 for r in stepped}
         if all(r.done for r in states.values()):
@@ -179,12 +182,10 @@ def _loss_sums(design: np.ndarray, y: np.ndarray, beta: np.ndarray | None) -> np
 
 
 def _newton_step(states: dict[str, Row], c: float, tol: float):
-    """Grouped step of one model: its partial rows (``fan_in`` at most) to new coefficients."""
+    """Arrow mapper over partial sums that are sorted by model: new coefficients of each model."""
     known = {m: (np.asarray(r.beta), np.asarray(r.previous), r.loss) for m, r in states.items()}
 
-    def run(parts: pd.DataFrame) -> pd.DataFrame:
-        model, n = parts["model"].iloc[0], int(parts["n"].sum())
-        stats = np.sum(np.vstack(parts["stats"].to_numpy()), axis=0)
+    def step(model: str, n: int, stats: np.ndarray) -> dict:
         d = int(round((np.sqrt(4 * stats.size - 3) - 1) / 2))
         beta, previous, best = known.get(model, (np.zeros(d), np.zeros(d), np.inf))
         penalty = np.append(np.ones(d - 1), 0.0)
@@ -195,9 +196,25 @@ def _newton_step(states: dict[str, Row], c: float, tol: float):
         else:
             gradient = c * stats[1:1 + d] + penalty * beta
             curvature = c * stats[1 + d:].reshape(d, d) + np.diag(penalty)
-            step = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
-            new, previous, done = beta - step, beta, bool(np.max(np.abs(step)) < tol)
-        return pd.DataFrame({"model": [model], "n": [n], "beta": [new], "previous": [previous],
-                             "loss": [loss], "done": [done]})
+            move = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
+            new, previous, done = beta - move, beta, bool(np.max(np.abs(move)) < tol)
+        return {"model": model, "n": n, "beta": new.tolist(), "previous": previous.tolist(), "loss": float(loss), "done": done}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("model", pa.string()), ("n", pa.int64()), ("beta", pa.list_(pa.float64())),
+                            ("previous", pa.list_(pa.float64())), ("loss", pa.float64()), ("done", pa.bool_())])
+        model, n, total = None, 0, None
+        for batch in batches:
+            counts, stats = batch.column("n").to_pylist(), batch.column("stats")
+            for k, name in enumerate(batch.column("model").to_pylist()):
+                part = stats[k].values.to_numpy(zero_copy_only=False)
+                if name == model:
+                    n, total = n + counts[k], total + part
+                    continue
+                if model is not None:
+                    yield pa.RecordBatch.from_pylist([step(model, n, total)], schema)
+                model, n, total = name, counts[k], part
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([step(model, n, total)], schema)
 
     return run
