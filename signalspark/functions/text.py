@@ -89,6 +89,18 @@ def lexicon_shares(text: Column | str, positive: Iterable[str], negative: Iterab
     return F.aggregate(parts, start, count, shares)
 
 
+def softmax(logits: Column | str) -> Column:
+    """Class probabilities of an array of logits; shifted by the greatest, so that none overflows.
+
+    Null gives null, an empty array an empty one; a null logit makes all of them null.
+    """
+    logits = F.col(logits) if isinstance(logits, str) else logits
+    whole = F.when(~F.exists(logits, F.isnull), logits)
+    raised = F.transform(whole, lambda x: F.exp(x - F.array_max(whole)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(raised, lambda x: x / total)
+
+
 def score_from_probs(positive: Column | str, negative: Column | str) -> Column:
     """P(positive) - P(negative), in [-1, 1]."""
     positive = F.col(positive) if isinstance(positive, str) else positive

@@ -1,12 +1,14 @@
+import math
+import random
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.functions.text import DEFAULT_KEYWORDS, clean_text, combined_text, tag_entity
+from signalspark.functions.text import DEFAULT_KEYWORDS, clean_text, combined_text, softmax, tag_entity
 from signalspark.operators import scoring
-from signalspark.operators.tagging import tag_by_dictionary
+from signalspark.operators.tagging import tag_by_dictionary, tag_by_substring
 from signalspark.streaming.scores import follow_news
 
 GOOD, BAD = ("gain", "win"), ("loss",)
@@ -107,3 +109,35 @@ def test_stream_keeps_the_store_current(spark, tmp_path):
         query = follow_news(spark, folder, store, check, predict, "v1")
         query.awaitTermination(120)
         assert scoring.read_scores(spark, store).count() == want
+
+
+@pytest.mark.parametrize("limit", [10**9, 300_000])
+def test_large_dictionary_of_substrings_equals_contains(spark, limit):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHÉ日 .*") for _ in range(n))
+    words = sorted({draw(rng.randint(3, 9)) for _ in range(100_000)}) + ["IPHONE", "MAC"]
+    rng.shuffle(words)
+    entries = [(w, k // 2, f"T{k % 5}") for k, w in enumerate(words)]  # ranks tie
+    texts = [draw(rng.randint(0, 40)).lower() for _ in range(300)] + ["", None, "a machine", "x" * 50_000 + "iphone"]
+    news = spark.createDataFrame([(k, t, None, "old", 5) for k, t in enumerate(texts)],
+                                 "id int, Headlines string, Description string, Ticker string, word int").repartition(3)
+    dictionary = spark.createDataFrame([*entries, *entries[:5], (None, 0, "none")], "word string, rank int, Ticker string")
+    got = {r.id: r.Ticker for r in tag_by_substring(news, dictionary, "id", slice_chars=limit).collect()}
+    want = {}
+    for k, text in enumerate(texts):
+        hits = [(rank, w, t) for w, rank, t in entries if w in (text or "").upper()]
+        if hits:
+            want[k] = min(hits)[2]
+    assert got == want and len(want) > 100
+    same = tag_by_substring(news, dictionary.filter("word = 'MAC'").unionByName(spark.createDataFrame(
+        [("", 10**6, "any")], "word string, rank int, Ticker string")), "id", slice_chars=limit)
+    assert {r.id: r.Ticker for r in same.collect()}[0] == "any" and same.count() == len(texts)
+    assert tag_by_substring(news, dictionary.limit(0), "id").count() == 0
+
+
+def test_softmax_is_stable(spark):
+    rows = [([1.0, 2.0, 3.0],), ([1000.0, 1000.0],), ([-1e308, 1e308],), ([],), (None,), ([1.0, None],)]
+    got = [r.p for r in spark.createDataFrame(rows, "l array<double>").select(softmax("l").alias("p")).collect()]
+    e = [math.exp(v) for v in (1, 2, 3)]
+    assert got[0] == pytest.approx([v / sum(e) for v in e])
+    assert got[1:] == [[0.5, 0.5], [0.0, 1.0], [], None, None]

@@ -441,6 +441,18 @@ ORACLE_SQL: dict[str, str] = {
                   f"{_tag('word')} AS by_word FROM documents) WHERE by_substring IS NOT NULL",
     "tag_dictionary": f"SELECT doc_id, t AS Ticker FROM (SELECT doc_id, {_tag('word')} AS t "
                       "FROM documents) WHERE t IS NOT NULL",
+    "tag_substring": """
+        WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(upper(text), '[^\\p{L}]+')) AS word FROM benchmark),
+        ranked AS (SELECT word, ('0x' || substr(md5(word), 1, 6))::INTEGER AS rank, 'E' || length(word) AS tag
+                   FROM words WHERE length(word) >= 8)
+        SELECT doc_id, arg_min(tag, (rank, word)) AS Ticker FROM
+            (SELECT doc_id, upper(concat_ws(' ', lang, source, text)) AS t FROM documents) d, ranked
+        WHERE contains(t, word) GROUP BY doc_id""",
+    "softmax": f"""
+        WITH logits AS (SELECT doc_id, [n_chars / 7e0, (doc_id % 13) * 40e0, -length(source)::DOUBLE] AS l FROM documents),
+        raised AS (SELECT doc_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM logits)
+        SELECT doc_id, {', '.join(f'round(e[{i}] / list_sum(e), 9) AS {c}' for i, c in enumerate(('negative', 'neutral', 'positive'), 1))}
+        FROM raised""",
     "clean_text": f"SELECT doc_id, md5({_clean('text')}) AS text_md5, length(c) AS combined_chars, "
                   f"sha256(c) AS text_key FROM (SELECT doc_id, text, "
                   f"{_clean(chr(40) + 'lang || chr(32) || source || chr(32) || text' + chr(41))} AS c "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalspark.functions.clock import normalized_time
 from signalspark.functions.decay import ExponentialDecay, HalfLifeDecay, LinearDecay
-from signalspark.functions.text import clean_text, score_from_probs, tag_entity, text_key
+from signalspark.functions.text import clean_text, score_from_probs, softmax, tag_entity, text_key
 from signalspark.operators import attribution, boosting, features as feat, indicators as ind, metrics
 from signalspark.operators import models as mod
 from signalspark.operators import scoring, tree_shap
@@ -22,7 +22,7 @@ from signalspark.operators.fold_table import FoldTable, fold_table
 from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days
 from signalspark.operators.logistic import fit_fold_logistic, predict_logistic
 from signalspark.operators.ordered import auc
-from signalspark.operators.tagging import tag_by_dictionary
+from signalspark.operators.tagging import tag_by_dictionary, tag_by_substring
 from signalspark.plans import report, sweep
 from signalspark.plans.study import Study
 from signalspark.sources.market import standardize_bars, trading_days, union_bars
@@ -113,6 +113,21 @@ def tag_dictionary(s: SparkSession, d: str) -> DataFrame:
     return tag_by_dictionary(v.document_news(s, d), dictionary, "doc_id").select("doc_id", "Ticker")
 
 
+def tag_substring(s: SparkSession, d: str) -> DataFrame:
+    """Tags by the long words of the benchmark passages, found anywhere in the documents."""
+    words = v.table(s, d, "benchmark").select(F.explode(F.split(F.upper("text"), r"[^\p{L}]+")).alias("word")).distinct()
+    size, code = F.length("word"), F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("int")
+    dictionary = words.filter(size >= 8).select("word", code.alias("rank"), F.concat(F.lit("E"), size).alias("Ticker"))
+    return tag_by_substring(v.document_news(s, d), materialize(dictionary, "keywords"), "doc_id").select("doc_id", "Ticker")
+
+
+def softmax_scores(s: SparkSession, d: str) -> DataFrame:
+    """Class probabilities from logits of the documents that are far apart."""
+    logits = F.array(F.col("n_chars") / 7, (F.col("doc_id") % 13) * 40.0, -F.length("source").cast("double"))
+    docs = v.table(s, d, "documents").select("doc_id", softmax(logits).alias("p"))
+    return rounded(docs.select("doc_id", *[F.col("p")[i].alias(c) for i, c in enumerate(scoring.CLASSES)]))
+
+
 def clean_text_query(s: SparkSession, d: str) -> DataFrame:
     docs = scoring.with_text(v.document_news(s, d))
     return docs.select("doc_id", F.md5(clean_text("Description")).alias("text_md5"),
@@ -567,6 +582,8 @@ QUERIES: dict[str, Query] = {
     "score_increment": score_increment,
     "tag_entity": tag_entity_query,
     "tag_dictionary": tag_dictionary,
+    "tag_substring": tag_substring,
+    "softmax": softmax_scores,
     "clean_text": clean_text_query,
     "target": target,
     "target_distribution": target_distribution,
