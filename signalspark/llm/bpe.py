@@ -21,6 +21,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,10 +131,31 @@ def _rare(common, pattern: str):
     return step
 
 
-def _assemble(common, pattern: str, tokens):
+def filled(words: list[str], known: dict[str, bytes], rare: list[bytes] | None, code) -> bytes:
+    """Ids of the words of one text, with those that came back by place.
+
+    Different texts of one id may share a digest and then get the parts of both. That shows
+    in the places: if they are not those of the missing words, one part each, the words
+    are encoded here.
+    """
+    parts = [known.get(w) for w in words]
+    missing = [k for k, p in enumerate(parts) if p is None]
+    back: dict[int, bytes] = {}
+    clash = False
+    for part in rare or ():
+        at, ids = int.from_bytes(part[:4], "little"), part[4:]
+        clash |= back.setdefault(at, ids) != ids
+    clash |= len(back) != len(missing) or not all(k in back for k in missing)
+    for k in missing:
+        parts[k] = code(words[k]) if clash else back[k]
+    return b"".join(parts)
+
+
+def _assemble(common, pattern: str, tokens, ranks):
     """Ids of each document, common and rare words by position, and the bytes that they decode to."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = regex.compile(pattern).findall, common.value
+        code = cache(lambda: _coder(ranks.value, pattern))
         table, ends = tokens.value
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -141,11 +163,7 @@ def _assemble(common, pattern: str, tokens):
             rare = batch.column("rare")
             for row, packed in enumerate(batch.column("text")):
                 text = unpack(packed.as_py()).decode()
-                parts = [known.get(w) for w in split(text)]
-                if rare[row].is_valid:
-                    for part in rare[row].as_py():
-                        parts[int.from_bytes(part[:4], "little")] = part[4:]
-                ids = b"".join(parts)
+                ids = filled(split(text), known, rare[row].as_py(), lambda word: code()(word))
                 all_ids.append(ids)
                 all_bytes.append(_decoded(np.frombuffer(ids, "<u4"), table, ends))
             keep = [c for c in batch.schema.names if c not in ("text", "rare")]
@@ -193,7 +211,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)
     common = spark.sparkContext.broadcast(common_words(base, shared, pattern))
-    # 32 bits tell rows of one id apart
+    # rows of one id are mostly told apart by 32 bits; where they are not, ``filled`` sees it
     keyed = base.withColumn("digest", F.hash("text"))
     rare = keyed.mapInArrow(_rare(common, pattern), "id long, digest int, place int, word string")
     apart = F.when(F.octet_length("word") > LONG_BYTES, F.col("digest"))
@@ -210,7 +228,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     tokens = spark.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8),
                                            np.concatenate([[0], np.cumsum([len(t) for t in by_id], dtype=np.int64)])))
     done = whole.select("id", "text", "rare").mapInArrow(
-        _assemble(common, pattern, tokens), "id long, ids binary, decoded binary")
+        _assemble(common, pattern, tokens, shared), "id long, ids binary, decoded binary")
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "ids", "decoded")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalspark.llm.words import BYTE_CODES, INVERSE, ODD, Piece, mix, pieces, powers, shingles_of, signed, words_of
+from signalspark.llm.words import ODD, Piece, mix, pieces, range_hashes, shingles_of, signed, words_of
 from signalspark.storage import materialize
 
 ORDER = 4
@@ -68,9 +68,7 @@ def text_features(piece: Piece) -> list[np.ndarray]:
     sums = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
     worded = sums[ends] > sums[starts]
     starts, ends, of_text = starts[worded], ends[worded], of_text[worded]
-    codes = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[piece.data] * powers(ODD, n)[:n], out=codes[1:])
-    line = mix((codes[ends] - codes[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    line = range_hashes(piece.data, starts, ends)
     _, first = np.unique(mix(line + of_text.astype(np.uint64) * np.uint64(ODD)), return_index=True)
     dup_lines = np.bincount(of_text, minlength=texts) - np.bincount(of_text[first], minlength=texts)
     # words in shingles that a text has twice or more

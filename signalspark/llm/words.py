@@ -48,6 +48,39 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+#: Primes below 2**31 and a base for each. A polynomial modulo 2**64 would give one hash to long
+#: texts of two letters that follow certain patterns; modulo primes no short pattern does.
+FIELDS = ((2147483647, 1299721033), (2147483629, 1687093547))
+_prime_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def prime_powers(prime: int, base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo ``prime`` for i below n at least."""
+    have = _prime_powers.get((prime, base))
+    if have is None or len(have) < n:
+        size = max(n, PIECE_BYTES + 1)
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            step = np.uint64(pow(base, len(have), prime))
+            have = np.concatenate([have, have * step % np.uint64(prime)])
+        if size <= 4 * PIECE_BYTES:
+            _prime_powers[prime, base] = have
+    return have
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range, of two polynomials modulo primes and the length."""
+    n = len(data)
+    out = (end - start).astype(np.uint64) * np.uint64(ODD)
+    for shift, (prime, base) in zip((0, 31), FIELDS):
+        p = np.uint64(prime)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((BYTE_CODES % p)[data] * prime_powers(prime, base, n)[:n] % p, out=sums[1:])
+        back = prime_powers(prime, pow(base, -1, prime), n + 1)[start]
+        out += ((sums[end] - sums[start]) % p * back % p) << np.uint64(shift)
+    return mix(out)
+
+
 @dataclass
 class Piece:
     """Some texts of a batch: ``rows`` are their row numbers, text i is data[bounds[i]:bounds[i+1]]."""
@@ -110,10 +143,7 @@ def words_of(piece: Piece) -> Words:
     lasts = bounds[1:]
     before_gap[lasts[lasts > 0] - 1] = True
     end = np.flatnonzero(inside & before_gap) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(ODD, n)[:n], out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(INVERSE, n + 1)[start]
-    return Words(start, end, np.searchsorted(bounds, start, "right") - 1, mix(value + (end - start).astype(np.uint64)))
+    return Words(start, end, np.searchsorted(bounds, start, "right") - 1, range_hashes(data, start, end))
 
 
 @dataclass

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ import corpus_pipeline
 from signalspark.llm import (bpe, chosen_path, compact_windows, line_dedup, mixing, perplexity, pii, sharding,
                              window_dedup)
 from signalspark.llm.components import connected_components
+from signalspark.llm.perplexity import text_features
+from signalspark.llm.words import pieces, range_hashes, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -274,6 +277,32 @@ def test_bpe(spark, docs, rows, no_docs):
     assert bpe.encoded(no_docs, path, pattern).count() == 0
 
 
+def test_bpe_of_texts_that_share_id_and_digest(spark, monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    args = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
+    monkeypatch.setattr(bpe, "COMMON_WORDS", 0)
+    # the first two have one 32-bit hash; the others differ from them in number and places of words
+    texts = ["word 71081 some", "word 293680 some", "word", "word 71081 some", None]
+    monkeypatch.setattr(bpe.F, "hash", lambda c: F.lit(7))
+    got = bpe.encoded(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), *args).collect()
+    assert sorted(r.decoded.decode() for r in got) == sorted(t or "" for t in texts)
+
+
+def test_words_in_patterns_have_different_hashes(docs):
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    text = f"{bits}\n{other}\n{bits} x"
+    piece = next(pieces(pa.array([text, " ".join([bits, other] * 6), " ".join([bits] * 6)])))
+    assert len(set(words_of(piece).hash.tolist())) == 3
+    features = text_features(piece)
+    assert features[3].tolist() == [0, 0, 0] and features[4].tolist() == [0, 12, 6]
+    # equal bytes have equal hashes, wherever they are
+    data = np.frombuffer(b"xxabcabcab" * 3, np.uint8)
+    start, end = np.array([2, 5, 12, 2, 25]), np.array([5, 8, 15, 4, 28])
+    hashes = range_hashes(data, start, end).tolist()
+    assert hashes[0] == hashes[1] == hashes[2] == hashes[4] != hashes[3]
+
+
 def test_bpe_with_few_common_words(docs, monkeypatch):
     tokenizers = pytest.importorskip("public_tokenizers")
     args = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
