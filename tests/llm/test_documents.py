@@ -92,6 +92,19 @@ def test_lines_without_blanks(spark):
         assert set(got) == (plain_shingles(line) if line else set())
 
 
+@pytest.mark.parametrize("size", [9, 14, 24, 60])
+def test_recall_by_length(spark, size):
+    """Pairs at or just above the threshold: a line and the same with characters added at its end."""
+    rng = np.random.default_rng(size)
+    shingles = size - line_dedup.LENGTH + 1
+    texts = []
+    for _ in range(400):
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), size))
+        texts.append(f"{line}\n{line}{''.join(rng.choice(list('ABCDEFGH'), shingles // 4))}")
+    removed = removed_of(spark, texts)
+    assert sum(removed.get(k) == [1] for k in range(400)) >= 0.98 * 400
+
+
 def test_short_lines_with_one_edit(spark):
     typo = "The committee will publish its next report at the end of this quarter"
     year = "Copyright (c) 2019 by Example Authors and others, all rights held."
