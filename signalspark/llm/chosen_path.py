@@ -60,9 +60,9 @@ def runs_for(recall: float = RECALL, threshold: float = SIMILARITY) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meeting_chance(threshold)))
 
 
-CODES = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(ODD))
-#: Distinct leading bits: the least ``hash ^ code`` of different coordinates are different samples.
-CODES = (CODES >> np.uint64(6)) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(58))
+#: Odd factors: the order of ``hash * factor`` is another one for each coordinate, so that the samples of small
+#: sets do not depend on each other.
+FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(ODD)) | np.uint64(1)
 
 
 def embeddings(sh, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +73,8 @@ def embeddings(sh, texts: int) -> tuple[np.ndarray, np.ndarray]:
         return some, np.zeros((0, COORDINATES), np.uint32)
     at = starts[:-1][some]
     out = np.empty((len(some), COORDINATES), np.uint32)
-    for i, code in enumerate(CODES):
-        least = np.minimum.reduceat(sh.hash ^ code, at) ^ code
-        out[:, i] = mix(least + np.uint64(i)) & np.uint64(0xFFFFFFFF)
+    for i, factor in enumerate(FACTORS):
+        out[:, i] = mix(np.minimum.reduceat(sh.hash * factor, at)) & np.uint64(0xFFFFFFFF)
     return some, out
 
 

@@ -7,8 +7,10 @@ follows the number of different n-grams, not of documents; it is checked, and a
 model beyond ``MAX_MODEL_ROWS`` is joined to the documents' n-grams instead.
 
 A document is rejected if a fixed rule fails or if its mean log perplexity lies
-outside its language's band: the quartiles of all documents, widened by ``BAND``
-times their distance (and by the square root of its shortness below ``FULL_WORDS``). Null texts are empty, null languages a language of their own;
+outside its language's band. The band is taken on the logarithm of that mean, which has
+no lowest value, and on each side by itself: the median of all documents and ``BAND`` times
+its distance to that side's quartile (wider by the square root of its shortness below
+``FULL_WORDS``). Null texts are empty, null languages a language of their own;
 texts shorter than an n-gram have no perplexity and only the fixed rules apply.
 """
 
@@ -27,11 +29,11 @@ from signalspark.storage import materialize
 ORDER = 4
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-BAND = 10.0
+BAND = 7.0
 #: From this many words on the band has its full narrowness; below, it widens with the noise of a short mean.
-FULL_WORDS = 100
-#: Least width of the quartiles, so that a uniform corpus does not reject its tails.
-LEAST_SPREAD = 0.05
+FULL_WORDS = 300
+#: Least distance of a quartile from the median, in logarithms of the mean: a uniform corpus keeps its tails.
+LEAST_SPREAD = 0.004
 MAX_MODEL_ROWS = 8_000_000
 #: Different n-grams that a counting task holds before it hands them on.
 HELD_GRAMS = 2_000_000
@@ -343,14 +345,16 @@ def with_verdict(rows: DataFrame, band: float = BAND) -> DataFrame:
     values = lp.groupBy("_lm_group", "v").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy("_lm_group").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumns({"upto": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("_lm_group"))})
-    quartile = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) for q in (0.25, 0.75)]
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
-    bands = (values.groupBy("_lm_group").agg(quartile[0].alias("q1"), quartile[1].alias("q3"))
-             .select(F.col("_lm_group").alias("_lm_of"), F.col("q1").alias("_lm_low"), F.col("q3").alias("_lm_high"),
-                     spread.alias("_lm_spread")))
+    q1, q2, q3 = (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) for q in (0.25, 0.5, 0.75))
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(0.001)))
+    side = lambda a, b: F.greatest(log(a) - log(b), F.lit(LEAST_SPREAD))
+    bands = (values.groupBy("_lm_group").agg(q1.alias("q1"), q2.alias("q2"), q3.alias("q3"))
+             .select(F.col("_lm_group").alias("_lm_of"), log("q2").alias("_lm_middle"), side("q2", "q1").alias("_lm_below"),
+                     side("q3", "q2").alias("_lm_above")))
     judged = rows.join(F.broadcast(bands), F.col("_lm_group").eqNullSafe(F.col("_lm_of")), "left")  # a row per language
     failed = (F.col("_lm_n_words") < MIN_WORDS) | (100 * F.col("_lm_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_lm_n_words"))
-    wide = band * F.col("_lm_spread") * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_WORDS) / F.greatest("_lm_n_words", F.lit(1))))
-    inside = F.coalesce(F.round("_lm_log_ppl", 3).between(F.col("_lm_low") - wide, F.col("_lm_high") + wide), F.lit(True))
+    wide = band * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_WORDS) / F.greatest("_lm_n_words", F.lit(1))))
+    off = F.log(F.greatest(F.round("_lm_log_ppl", 3), F.lit(0.001))) - F.col("_lm_middle")
+    inside = F.coalesce(off.between(-wide * F.col("_lm_below"), wide * F.col("_lm_above")), F.lit(True))
     return judged.withColumns({"_lm_base_failed": failed, "_lm_kept": ~failed & inside}).drop(
-        "_lm_of", "_lm_low", "_lm_high", "_lm_spread", "_lm_group")
+        "_lm_of", "_lm_middle", "_lm_below", "_lm_above", "_lm_group")

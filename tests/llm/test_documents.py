@@ -170,6 +170,29 @@ def test_text_rules_and_model(spark, docs, rows, no_docs):
     assert perplexity.scored(no_docs).count() == 0
 
 
+def test_bands_reject_on_both_sides(spark):
+    rng = np.random.default_rng(6)
+    texts, planted = [], {}
+    for lang, letters in (("en", "etaoinshr"), ("fr", "esaitnrul")):
+        # a language of its own words, some of them frequent
+        words = ["".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(400)]
+        for _ in range(300):
+            texts.append((" ".join(words[int(k)] for k in np.minimum(rng.zipf(1.3, rng.integers(20, 500)), 400) - 1), lang))
+        for k in range(3):
+            planted[len(texts)] = "above"
+            texts.append((" ".join("".join(rng.choice(list("qzxjkvwy0123456789"), 7)) for _ in range(200)), lang))
+            planted[len(texts)] = "below"  # two words in turn, in runs that no window of five repeats often enough to count
+            texts.append((" ".join(words[0] + words[1] * (j % 90 + 1) for j in range(80 + k)), lang))
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in perplexity.with_verdict(perplexity.scored(df)).collect()}
+    for k, side in planted.items():
+        lp = sorted(r._lm_log_ppl for r in out.values() if r.lang == out[k].lang)
+        assert not out[k]._lm_base_failed and not out[k]._lm_kept
+        assert (out[k]._lm_log_ppl > lp[len(lp) // 2]) == (side == "above")
+    clean = [r for k, r in out.items() if k not in planted and not r._lm_base_failed]
+    assert len(clean) > 300 and np.mean([r._lm_kept for r in clean]) > 0.99
+
+
 def test_model_is_a_distribution(spark):
     df = spark.createDataFrame([("abcabdabcabcxyz zyx abcd " * 3, "en"), ("les amis de la mer", "fr")], "text string, lang string")
     model = perplexity.model_arrays(perplexity.kneser_ney(df).toArrow())
@@ -290,6 +313,19 @@ def test_bpe(spark, docs, rows, no_docs):
     assert bpe.encoded(no_docs, path, pattern).count() == 0
 
 
+@pytest.mark.parametrize("words, more", [(8, 1), (14, 2), (24, 5), (64, 15)])
+def test_join_finds_pairs_at_the_threshold(spark, words, more):
+    """A text and the same with words added, so that the similarity is 0.8 or just above."""
+    rng = np.random.default_rng(words)
+    rows = []
+    for k in range(400):
+        text = [f"w{v}" for v in rng.integers(0, 10 ** 9, words + more)]
+        assert (words - 4) / (words + more - 4) >= 0.8
+        rows += [(2 * k, " ".join(text[:words])), (2 * k + 1, " ".join(text))]
+    got = chosen_path.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.class_id == r.doc_id - 1 and r.n_links == 1 for r in got if r.doc_id % 2) >= 0.985 * 400
+
+
 def test_bpe_of_texts_that_share_id_and_digest(spark, monkeypatch):
     tokenizers = pytest.importorskip("public_tokenizers")
     args = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
