@@ -13,8 +13,21 @@ from pyspark.sql import functions as F
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """The ``n`` rows whose hashed key comes first: random, repeatable, a per-task top-n."""
-    mixed = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    return df.orderBy(mixed, *key).limit(n)
+    return df.orderBy(_draw(key, seed), *key).limit(n)
+
+
+def sample_per_group(df: DataFrame, groups: Sequence[str], n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """``sample_rows`` of every group at once.
+
+    Each task keeps the ``n`` first rows of a group before the shuffle, so a group of any size
+    sends ``n`` rows per task.
+    """
+    order = Window.partitionBy(*groups).orderBy(_draw(key, seed), *key)
+    return df.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n).drop("_place")
+
+
+def _draw(key: Sequence[str], seed: int) -> Column:
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
 
 
 def mean_absolute(contributions: DataFrame, features: Sequence[str],

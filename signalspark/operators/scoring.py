@@ -7,8 +7,10 @@ texts to an array of class probabilities, columns ordered as ``labels`` says.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ from signalspark.storage import materialize
 # Class columns of scored text, and texts per model call.
 CLASSES = (NEGATIVE, NEUTRAL, POSITIVE)
 BATCH_SIZE = 64
+#: Characters of a batch with its padding, about those of 64 texts of some hundred words.
+PADDED_CHARS = 1 << 18
 
 
 def with_score(df: DataFrame) -> DataFrame:
@@ -60,16 +64,83 @@ def score_distinct(texts: DataFrame, make_predict_fn: Callable, labels: Sequence
     return with_score(scored.withColumns({c: F.col(f"_probs.{c}") for c in CLASSES}).drop("_probs"))
 
 
+def budget_batches(lengths: np.ndarray, budget: int) -> list[slice]:
+    """Runs of ascending lengths whose padded size (longest times number) is within ``budget``.
+
+    A text longer than the budget is a batch of its own.
+    """
+    out, start = [], 0
+    for k, length in enumerate(lengths.tolist()):
+        # lengths ascend, so the one at hand is the longest of the run
+        if k > start and max(1, length) * (k - start + 1) > budget:
+            out.append(slice(start, k))
+            start = k
+    return [*out, slice(start, len(lengths))] if len(lengths) else out
+
+
+def by_length(texts: DataFrame, text: str = "combined_text") -> DataFrame:
+    """Texts of each partition by length; a partition of distinct texts has all lengths, so none is slow."""
+    return texts.withColumn("_length", F.length(text)).sortWithinPartitions("_length")
+
+
+def score_budgeted(texts: DataFrame, make_predict_fn: Callable, labels: Sequence[str] = CLASSES,
+                   text: str = "combined_text", budget: int = PADDED_CHARS) -> DataFrame:
+    """``score_distinct`` in batches of a bounded padded size instead of a fixed number of texts.
+
+    Texts of like length share a batch, so little of it is padding; a very long text is
+    a batch of its own and holds up no other.
+    """
+    if sorted(labels) != sorted(CLASSES):
+        raise ValueError(f"Model labels {list(labels)} are not {list(CLASSES)}")
+    kept = texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = make_predict_fn()
+        for batch in batches:
+            held = np.array(batch.column(text).to_pylist(), object)
+            lengths = batch.column("_length").to_numpy(zero_copy_only=False)
+            parts = [np.asarray(predict(held[part]), float) for part in budget_batches(np.nan_to_num(lengths), budget)]
+            if parts:
+                found = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(found[:, i]) for i in range(len(labels))]],
+                                                 names=[*kept, *labels])
+
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema], *[f"{c} double" for c in labels]])
+    return with_score(by_length(texts, text).mapInArrow(run, kinds))
+
+
+def padding_share(texts: DataFrame, text: str = "combined_text", budget: int = PADDED_CHARS,
+                  batch_size: int = BATCH_SIZE) -> DataFrame:
+    """One row: share of padding in all batches, by budget and by number (``batch_size`` texts as they come)."""
+    def sizes(batches: Iterator[pa.RecordBatch], count: int | None = None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.nan_to_num(batch.column("_length").to_numpy(zero_copy_only=False)).astype(np.int64)
+            parts = budget_batches(n, budget) if count is None else [slice(k, k + count) for k in range(0, len(n), count)]
+            padded = sum(int(n[p].max()) * len(n[p]) for p in parts)
+            yield pa.RecordBatch.from_arrays([pa.array([padded]), pa.array([int(n.sum())])], names=["padded", "used"])
+
+    share = 1 - F.sum("used") / F.sum("padded")
+    plain = texts.withColumn("_length", F.length(text))
+    one = by_length(texts, text).select("_length").mapInArrow(sizes, "padded long, used long").agg(share.alias("by_budget"))
+    other = plain.select("_length").mapInArrow(lambda b: sizes(b, batch_size), "padded long, used long").agg(share.alias("by_number"))
+    return one.withColumn("_", F.lit(0)).join(other.withColumn("_", F.lit(0)), "_").drop("_")  # a row each
+
+
 def score_texts(news: DataFrame, make_predict_fn: Callable, labels: Sequence[str] = CLASSES,
                 batch_size: int = BATCH_SIZE, salt_by: Sequence[str] = ("Time", "Headlines"),
-                **join_limits: float) -> DataFrame:
+                budget: int | None = None, **join_limits: float) -> DataFrame:
     """News with class columns and score; each distinct text is scored once.
 
+    With ``budget`` batches have a bounded padded size instead of ``batch_size`` texts.
+
     The scores are written before the join, so a lost executor does not run the
     model again. A text copied a million times joins through a salted key.
     """
     texted = with_text(news)
-    scored = score_distinct(distinct_texts(texted), make_predict_fn, labels, batch_size=batch_size)
+    if budget is None:
+        scored = score_distinct(distinct_texts(texted), make_predict_fn, labels, batch_size=batch_size)
+    else:
+        scored = score_budgeted(distinct_texts(texted), make_predict_fn, labels, budget=budget)
     scores = materialize(scored.drop("combined_text"), "scores")
     return (lookup_join(texted, scores, ["text_key"], "inner", salt_by, **join_limits)
             .drop("combined_text", "text_key"))

@@ -194,3 +194,13 @@ def test_histogram_and_boxplot(spark):
         assert (box.median, box.whisker_high, box.outliers) == (pytest.approx(0.25), 1.0, 1)
     assert report.score_histogram(df.limit(1)).first().n == 1
     assert report.score_histogram(df.limit(0)).count() == 0
+
+
+def test_samples_of_all_groups_at_once(spark):
+    rows = [(g, k, float(k)) for g, n in (("a", 500), ("b", 3), (None, 40)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(5)
+    got = attribution.sample_per_group(df, ["g"], 10, ["k"])
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    for g, n in (("a", 10), ("b", 3), (None, 10)):
+        one = attribution.sample_rows(df.filter(F.col("g").eqNullSafe(g)), 10, ["k"]).collect()
+        assert sorted(r.k for r in got.filter(F.col("g").eqNullSafe(g)).collect()) == sorted(r.k for r in one) and len(one) == n

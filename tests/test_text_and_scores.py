@@ -141,3 +141,22 @@ def test_softmax_is_stable(spark):
     e = [math.exp(v) for v in (1, 2, 3)]
     assert got[0] == pytest.approx([v / sum(e) for v in e])
     assert got[1:] == [[0.5, 0.5], [0.0, 1.0], [], None, None]
+
+
+def test_batches_by_padded_size(spark):
+    rng = random.Random(5)
+    sizes = sorted([rng.randint(0, 40) for _ in range(200)] + [10_000])
+    cuts = scoring.budget_batches(np.array(sizes), 400)
+    assert [k for c in cuts for k in range(c.start, c.stop)] == list(range(201))
+    assert all(max(sizes[c]) * len(sizes[c]) <= 400 or len(sizes[c]) == 1 for c in cuts[:-1]) and sizes[cuts[-1]] == [10_000]
+    assert scoring.budget_batches(np.zeros(0), 5) == []
+    texts = [" ".join(rng.choice(["gain", "loss", "and", "win", "x"]) for _ in range(rng.choice([1, 3, 200]))) for _ in range(300)]
+    rows = [(k, t, None, datetime(2024, 1, 1)) for k, t in enumerate([*texts, "gain " * 40_000, "", texts[0]])]
+    news = spark.createDataFrame(rows, "id int, Headlines string, Description string, Time timestamp").repartition(3)
+    key = lambda df: sorted((r.id, round(r.negative, 9), round(r.sentiment_score, 9)) for r in df.collect())
+    predict = scoring.lexicon_predict_fn(GOOD, BAD)
+    assert key(scoring.score_texts(news, predict)) == key(scoring.score_texts(news, predict, budget=5_000))
+    shares = scoring.padding_share(scoring.distinct_texts(scoring.with_text(news)), budget=5_000).first()
+    assert shares.by_budget < 0.2 < 0.5 < shares.by_number
+    with pytest.raises(ValueError):
+        scoring.score_budgeted(news, predict, labels=("a", "b"))

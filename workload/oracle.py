@@ -659,3 +659,6 @@ ORACLE_SQL: dict[str, str] = {
               WINDOW p AS (PARTITION BY Ticker))
         GROUP BY Ticker""",
 }
+
+# the same scores, batched otherwise
+ORACLE_SQL["score_budget"] = ORACLE_SQL["score_batch"]

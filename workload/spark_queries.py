@@ -146,6 +146,13 @@ def score_batch(s: SparkSession, d: str) -> DataFrame:
     return rounded(scored.select("doc_id", *scoring.CLASSES, "sentiment_score"))
 
 
+def score_budget(s: SparkSession, d: str) -> DataFrame:
+    """``score_batch`` in batches of a bounded padded size."""
+    predict = scoring.lexicon_predict_fn(v.POSITIVE_WORDS, v.NEGATIVE_WORDS)
+    scored = scoring.score_texts(v.document_news(s, d), predict, salt_by=["doc_id"], budget=scoring.PADDED_CHARS)
+    return rounded(scored.select("doc_id", *scoring.CLASSES, "sentiment_score"))
+
+
 def score_model(s: SparkSession, d: str) -> DataFrame:
     model = scoring.text_classifier().fit(v.labelled_text(s, d))
     scored = scoring.score_classifier(model, v.table(s, d, "documents"))
@@ -556,12 +563,12 @@ SHAPLEY_ROWS = 100
 def sampled_shapley(s: SparkSession, d: str) -> DataFrame:
     """Shapley values of every fold's boosted trees on rows sampled per fold (the method's sample)."""
     rows = mod.fold_rows(_technical_rows(s, d), FEATURES)
+    # all samples in one job
+    picked = materialize(attribution.sample_per_group(rows, ["model", "role"], SHAPLEY_ROWS, ["Ticker", "Date"]), "samples")
     parts = []
     for name, model in mod.fit_per_fold(rows, mod.boosted_trees).items():
-        mine = rows.filter(F.col("model") == name)
-        picked = {r: attribution.sample_rows(mine.filter(F.col("role") == r), SHAPLEY_ROWS, ["Ticker", "Date"])
-                  for r in (TRAIN, TEST)}
-        parts.append(attribution.sampled_shapley(model, picked[TEST], picked[TRAIN], FEATURES)
+        mine = picked.filter(F.col("model") == name)
+        parts.append(attribution.sampled_shapley(model, mine.filter(F.col("role") == TEST), mine.filter(F.col("role") == TRAIN), FEATURES)
                      .withColumn("model", F.lit(name)))
     return rounded(reduce(DataFrame.unionByName, parts))
 
@@ -645,6 +652,7 @@ QUERIES: dict[str, Query] = {
     "score_from_probs": score_from_probs_query,
     "score_lexicon": score_lexicon,
     "score_batch": score_batch,
+    "score_budget": score_budget,
     "score_model": score_model,
     "cv_logistic": cv_logistic,
     "cv_gbt": cv_gbt,
