@@ -54,7 +54,17 @@ def sweep_daily(scored: DataFrame, params: SweepParams = SweepParams(),
     Intraday configurations give sent_decay_mean, sent_decay_var, sent_flat_mean,
     sent_std and sent_count; half-life ones give sent_mean and sentiment_memory.
     """
-    minutes = minute_totals(scored, keys)
+    return sweep_minutes(minute_totals(scored, keys), params, keys)
+
+
+def merged_minutes(parts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``minute_totals`` of all news from those of any split of it, in any order."""
+    return parts.groupBy(*keys, TIME_01).agg(*[F.sum(c).alias(c) for c in ("items", "n", "s1", "s2")],
+                                             F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def sweep_minutes(minutes: DataFrame, params: SweepParams = SweepParams(), keys: Sequence[str] = KEYS) -> DataFrame:
+    """``sweep_daily`` from minute totals."""
     intraday, memory = [], []
     for config_id, kind, _, value in params.configs():
         decay = make_decay(kind, value)

@@ -497,6 +497,12 @@ ORACLE_SQL: dict[str, str] = {
                 "SELECT d.Ticker, d.Date, d.rn, d.sent_mean, (1 - pow(5e-1, 1 / 3e0)) * d.sent_mean "
                 "+ pow(5e-1, d.gap / 3e0) * x.m FROM memory3 x JOIN n_means d "
                 "ON d.Ticker = x.Ticker AND d.rn = x.rn + 1"),
+    "memory_increment": sql(
+        "SELECT Ticker, max(Date) AS Date, round(arg_max(m, Date), 9) AS sentiment_memory FROM memory3 GROUP BY Ticker",
+        memory3="SELECT Ticker, Date, rn, sent_mean, sent_mean AS m FROM n_means WHERE rn = 1 UNION ALL "
+                "SELECT d.Ticker, d.Date, d.rn, d.sent_mean, (1 - pow(5e-1, 1 / 3e0)) * d.sent_mean "
+                "+ pow(5e-1, d.gap / 3e0) * x.m FROM memory3 x JOIN n_means d "
+                "ON d.Ticker = x.Ticker AND d.rn = x.rn + 1"),
     "returns": sql(f"SELECT Ticker, Date, {rnd(*RETURNS)} FROM bars_tech"),
     "volatility": sql(f"SELECT Ticker, Date, {rnd('return_1d', 'volatility')} FROM bars_tech"),
     "rsi": sql(f"SELECT Ticker, Date, {rnd('RSI')} FROM bars_tech"),
@@ -660,5 +666,6 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY Ticker""",
 }
 
-# the same scores, batched otherwise
+# the same results, batched or taken in otherwise
+ORACLE_SQL["decay_increment"] = ORACLE_SQL["decay_exponential"]
 ORACLE_SQL["score_budget"] = ORACLE_SQL["score_batch"]

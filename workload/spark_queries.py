@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -23,11 +24,13 @@ from signalspark.operators.folds import TEST, TRAIN, assign_folds, fold_days
 from signalspark.operators.logistic import fit_fold_logistic, predict_logistic
 from signalspark.operators.ordered import auc
 from signalspark.operators.tagging import tag_by_dictionary, tag_by_substring
+from signalspark.params import SweepParams
 from signalspark.plans import report, sweep
 from signalspark.plans.study import Study
 from signalspark.sources.market import standardize_bars, trading_days, union_bars
 from signalspark.sources.news import dedupe_news
-from signalspark.storage import materialize
+from signalspark.storage import materialize, work_dir
+from signalspark.streaming.decay import DecayStore, memory_state, merge_states, newest_memory
 from workload import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +222,24 @@ def _decayed(decay) -> Query:
     return lambda s, d: rounded(decay_daily(v.aligned_events(s, d), decay).drop("sent_decay_var"))
 
 
+def decay_increment(s: SparkSession, d: str) -> DataFrame:
+    """The exponential decay from a store that took the news in three batches, none of them in order of days."""
+    scored = v.aligned_events(s, d)
+    store = DecayStore(s, f"{work_dir(s)}/decay-{uuid.uuid4().hex}", fold_after=1)
+    for batch in range(3):
+        store.add(scored.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch), batch)
+    rate = SweepParams(exponential=(1.0,), half_life=(), linear=())
+    return rounded(store.features(rate).drop("config_id", "sent_decay_var"))
+
+
+def memory_increment(s: SparkSession, d: str) -> DataFrame:
+    """Newest half-life memory of each entity, merged from the states of odd and even days."""
+    daily = daily_mean(v.aligned_news(s, d, v.written_bars(s, d)))
+    decay = HalfLifeDecay(3.0)
+    halves = [memory_state(daily.filter(F.day("Date") % 2 == k), decay, k) for k in (0, 1)]
+    return rounded(newest_memory(merge_states(halves[0].unionByName(halves[1]), decay), decay))
+
+
 def squared_decay(t):
     """A user-defined decay: the square of the position in the session."""
     return t * t
@@ -605,6 +626,8 @@ QUERIES: dict[str, Query] = {
     "decay_exponential": _decayed(ExponentialDecay(1.0)),
     "decay_linear": _decayed(LinearDecay(1.0)),
     "decay_custom": _decayed(squared_decay),
+    "decay_increment": decay_increment,
+    "memory_increment": memory_increment,
     "decay_variance": decay_variance,
     "half_life_memory": half_life_memory_query,
     "returns": _bars_with(ind.add_returns, [f"{p}return_{n}d" for n in (1, 5, 10)
