@@ -528,3 +528,65 @@ def test_rows_of_last_stage(spark, docs, rows):
     pytest.importorskip("public_tokenizers")
     got = Counter((r[0], r[3]) for r in corpus_pipeline.bpe_stage(spark, docs.select(*COLUMNS), "").collect())
     assert got == Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+
+
+def topic(text):
+    if "License" in text:
+        return "legal"
+    if re.search("[0-9]", text):
+        return "figures"
+    if re.search(r"[#*$%&|<>!]", text):
+        return "markup"
+    return "short" if len(text) < 1500 else "long"
+
+
+def test_rows_of_mixing_stage(spark, docs, plain_rows):
+    got = Counter(tuple(r) for r in corpus_pipeline.mixing_stage(spark, docs.select(*COLUMNS), "").collect())
+    dims = list(mixing.ALPHAS)
+    cell = {r: ({"source": r[3], "lang": r[2], "topic": topic(r[1] or "")}, len(WORD.findall(r[1] or ""))) for r in plain_rows}
+    tokens = Counter()
+    for r, n in plain_rows.items():
+        tokens[tuple(cell[r][0][d] for d in dims)] += n * cell[r][1]
+    tokens = {k: n for k, n in tokens.items() if n}
+    total = sum(tokens.values())
+    weight = {k: n / total for k, n in tokens.items()}
+    share = {}
+    for i, d in enumerate(dims):
+        own = Counter()
+        for k, w in weight.items():
+            own[k[i]] += w
+        flat = {v: w ** mixing.ALPHAS[d] for v, w in own.items()}
+        share[d] = {v: w / sum(flat.values()) for v, w in flat.items()}
+    for _ in range(500):
+        for i, d in enumerate(dims):
+            own = Counter()
+            for k, w in weight.items():
+                own[k[i]] += w
+            weight = {k: w * share[d][k[i]] / own[k[i]] for k, w in weight.items()}
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        scale = (low + high) / 2
+        used = sum(min(1.0, scale * weight[k] / n) * n for k, n in tokens.items())
+        low, high = (scale, high) if used < corpus_pipeline.MIX_BUDGET * total else (low, scale)
+    want, unsure = Counter(), Counter()
+    for r, n in plain_rows.items():
+        k = tuple(cell[r][0][d] for d in dims)
+        p = min(1.0, scale * weight[k] / tokens[k]) if k in tokens else 0.0
+        name = f"{mixing.SEED}:{'null' if r[0] is None else r[0]}"
+        drawn = int(hashlib.md5(name.encode()).hexdigest()[:12], 16) / 2 ** 48
+        (unsure if abs(drawn - p) < 1e-6 else want if drawn < p else Counter())[r] += n
+    assert want - got == Counter() and got - want - unsure == Counter() and 20 < len(got) < len(plain_rows)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_empty_tables_and_clashing_names(spark, docs, no_docs, name, stage):
+    pytest.importorskip("public_tokenizers")
+    assert stage(spark, no_docs.select(*COLUMNS), "").count() == 0
+    wide = docs.withColumns({c: F.lit(c) for c in ("doc", "_id", "_digest", "_removed", "_cell", "topic", "tokens", "weight", "class_id",
+                                                    "probability", "sampled", "slot", "ids", "decoded", "removed")})
+    plain = Counter(tuple(r) for r in stage(spark, docs.select(*COLUMNS), "").collect())
+    got = stage(spark, wide, "")
+    if name != "bpe":
+        assert got.columns == wide.columns
+        got = got.select(*COLUMNS)
+    assert Counter(tuple(r) for r in got.collect()) == plain
