@@ -17,7 +17,7 @@ from signalspark.operators.fold_table import FoldTable, fold_table
 from signalspark.operators.folds import TEST, TRAIN
 from signalspark.operators.logistic import LOGISTIC_ITERATIONS, fit_fold_logistic, predict_logistic
 from signalspark.params import FoldParams
-from signalspark.storage import work_dir
+from signalspark.storage import materialize, work_dir
 
 # Settings of the boosted trees and the logistic regression.
 TREES, DEPTH, RATE, SEED = 100, 5, 0.1, 42
@@ -80,7 +80,9 @@ def fit_per_fold(rows: DataFrame, make_estimator: Callable[[int], Estimator],
         context.setCheckpointDir(work_dir(rows.sparkSession))
     train = rows.filter(F.col("role") == TRAIN)
     sizes = {r["model"]: r["count"] for r in train.groupBy("model").count().collect()}
-    vectors = train.select("model", F.col("y").alias("label"), array_to_vector("x").alias("features"))
+    # written, as every fit reads it
+    train = materialize(train.select("model", F.col("y").alias("label"), "x"), "fold_rows")
+    vectors = train.select("model", "label", array_to_vector("x").alias("features"))
 
     def fit(model: str) -> tuple[str, Model]:
         mine = vectors.filter(F.col("model") == model).drop("model")
@@ -101,9 +103,10 @@ def predict_per_fold(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def cv_estimator_rows(rows: DataFrame, make_estimator: Callable[[int], Estimator], model: str,
+def cv_estimator_rows(table: FoldTable | DataFrame, make_estimator: Callable[[int], Estimator], model: str,
                       keys: Sequence[str] = ()) -> DataFrame:
-    """Out-of-fold predictions of an MLlib classifier for every model of a training table."""
+    """Out-of-fold predictions of an MLlib classifier for every model of a training table or of its ``fold_rows``."""
+    rows = table.copies() if isinstance(table, FoldTable) else table
     scored = predict_per_fold(rows, fit_per_fold(rows, make_estimator))
     return predictions_of(scored, [*keys, "fold"], model)
 
