@@ -103,11 +103,11 @@ def mixed_of(df: DataFrame, seed: int) -> Column:
 
 
 def compare_importance(baseline: DataFrame, sentiment: DataFrame) -> DataFrame:
-    """Importance of both models side by side, 0 where a model lacks the feature."""
+    """Importance of both models side by side, 0 where a model lacks the feature; NaN stays NaN."""
     left = baseline.select("feature", F.col("importance").alias("baseline_importance"))
     right = sentiment.select("feature", F.col("importance").alias("sentiment_importance"))
-    both = left.join(right, "feature", "full").fillna(
-        0.0, ["baseline_importance", "sentiment_importance"])
+    both = left.join(right, "feature", "full").withColumns({
+        c: F.coalesce(c, F.lit(0.0)) for c in ("baseline_importance", "sentiment_importance")})
     change = F.col("sentiment_importance") - F.col("baseline_importance")
     return (both.withColumn("importance_change", change)
             .orderBy(F.desc("sentiment_importance"), "feature"))

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from datetime import date, timedelta
 
@@ -204,3 +205,19 @@ def test_samples_of_all_groups_at_once(spark):
     for g, n in (("a", 10), ("b", 3), (None, 10)):
         one = attribution.sample_rows(df.filter(F.col("g").eqNullSafe(g)), 10, ["k"]).collect()
         assert sorted(r.k for r in got.filter(F.col("g").eqNullSafe(g)).collect()) == sorted(r.k for r in one) and len(one) == n
+
+
+def test_importance_of_a_constant_feature(spark):
+    from workload.spark_queries import _correlations
+
+    rows = [(0.1, 1.0, 1, None), (0.1, 2.0, 0, 5.0), (0.1, 4.0, 1, None), (0.1, 4.0, 1, None)]
+    df = spark.createDataFrame(rows, "flat double, a double, Target int, once double").repartition(3)
+    right = _correlations(df, ["flat", "a", "once"])
+    got = {r.feature: r.importance for r in right.collect()}
+    assert math.isnan(got["flat"]) and math.isnan(got["once"])
+    assert got["a"] == pytest.approx(abs(np.corrcoef([1, 2, 4, 4], [1, 0, 1, 1])[0, 1]))
+    assert _correlations(df.limit(0), ["a"]).first().importance is None
+    both = {r.feature: r for r in attribution.compare_importance(right.filter("feature = 'a'"), right).collect()}
+    # as coalesce in SQL: only what is missing counts as 0
+    assert both["flat"].baseline_importance == 0 and math.isnan(both["flat"].sentiment_importance)
+    assert math.isnan(both["flat"].importance_change) and both["a"].importance_change == 0

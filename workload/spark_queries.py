@@ -403,7 +403,7 @@ def _signal_quality(s: SparkSession, d: str) -> DataFrame:
     rows = sweep.sweep_market(market.select("Ticker", "Date", "Target"), daily)
     signal = F.coalesce("sent_decay_mean", "sentiment_memory")
     quality = rows.withColumn("signal", signal).filter(F.col("signal").isNotNull()).groupBy(
-        "config_id").agg(F.corr("signal", F.col("Target").cast("double")).alias("metric_value"))
+        "config_id").agg(metrics.correlation(F.col("signal"), F.col("Target").cast("double")).alias("metric_value"))
     return F.broadcast(sweep.config_table(s)).join(quality, "config_id")
 
 
@@ -554,7 +554,7 @@ def linear_attribution(s: SparkSession, d: str) -> DataFrame:
 def _correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Importance of features: absolute correlation with the target."""
     y = F.col("Target").cast("double")
-    row = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), y)).alias(c) for c in names])
+    row = df.agg(*[F.abs(metrics.correlation(F.col(c).cast("double"), y)).alias(c) for c in names])
     return row.unpivot([], list(names), "feature", "importance")
 
 
