@@ -221,3 +221,13 @@ def test_importance_of_a_constant_feature(spark):
     # as coalesce in SQL: only what is missing counts as 0
     assert both["flat"].baseline_importance == 0 and math.isnan(both["flat"].sentiment_importance)
     assert math.isnan(both["flat"].importance_change) and both["a"].importance_change == 0
+
+
+def test_top_features_with_a_constant_one(spark):
+    from workload.spark_queries import _correlations
+
+    df = spark.createDataFrame([(1.0, 1.0, 1.0, 1), (1.0, 2.0, 3.0, 0), (1.0, 4.0, 1.0, 1)], "flat double, a double, b double, Target int")
+    top = attribution.top_features(_correlations(df, ["flat", "a", "b"]), 2).collect()
+    # as ORDER BY importance DESC in SQL: NaN is the largest
+    assert [r.feature for r in top] == ["flat", "b"] and math.isnan(top[0].importance)
+    assert top[1].importance == pytest.approx(1.0)
