@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.functions.text import upper_each
 from signalspark.operators.joins import lookup_join
 from signalspark.storage import materialize
 
@@ -25,7 +26,7 @@ def tag_by_dictionary(news: DataFrame, dictionary: DataFrame, key: str,
     identifies a news row. Only the words of a text that are in the dictionary
     leave the map tasks; texts are not shuffled with them.
     """
-    words = F.split(F.upper(F.concat_ws(" ", headline, description)), r"[^\p{L}\p{N}]+")
+    words = F.split(upper_each(F.concat_ws(" ", headline, description)), r"[^\p{L}\p{N}]+")
     each = news.select(key, F.explode(F.array_distinct(words)).alias("word"))
     hits = lookup_join(each, dictionary, ["word"], "inner", [key], **join_limits)
     tags = hits.groupBy(key).agg(F.min_by("Ticker", "rank").alias("Ticker"))
@@ -37,8 +38,8 @@ def tag_by_substring(news: DataFrame, dictionary: DataFrame, key: str,
                      slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Add ``Ticker``: the entity of the best ranked keyword found anywhere in the text, also inside words.
 
-    ``dictionary`` is a written table ``(word, rank, Ticker)`` of upper-case keywords of any
-    characters; the smallest rank wins, then the first word. Equals ``tag_entity`` with
+    ``dictionary`` is a written table ``(word, rank, Ticker)`` of keywords of any characters in
+    upper case (``upper_each``); the smallest rank wins, then the first word. Equals ``tag_entity`` with
     substrings, at a cost that does not grow with the number of keywords: one automaton
     reads each text once. Up to ``slice_chars`` the texts are not shuffled. A larger dictionary
     is cut into ranges of words, each with an automaton of its own; only hits are then
@@ -46,7 +47,7 @@ def tag_by_substring(news: DataFrame, dictionary: DataFrame, key: str,
     """
     known = dictionary.filter("word is not null").select("word", "rank", "Ticker")
     slices = _word_ranges(known, slice_chars)
-    text = F.upper(F.concat_ws(" ", headline, description)).alias("_text")
+    text = upper_each(F.concat_ws(" ", headline, description)).alias("_text")
     if len(slices) == 1:
         hit = _best_hits(news.select("*", text), slices[0], [c for c in news.columns if c != "Ticker"])
         return hit.drop("_rank", "_word")

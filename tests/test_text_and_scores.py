@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.functions.text import DEFAULT_KEYWORDS, clean_text, combined_text, softmax, tag_entity
+from signalspark.functions.text import DEFAULT_KEYWORDS, clean_text, combined_text, softmax, tag_entity, upper_each, upper_word
 from signalspark.operators import scoring
 from signalspark.operators.tagging import tag_by_dictionary, tag_by_substring
 from signalspark.streaming.scores import follow_news
@@ -160,3 +160,23 @@ def test_batches_by_padded_size(spark):
     assert shares.by_budget < 0.2 < 0.5 < shares.by_number
     with pytest.raises(ValueError):
         scoring.score_budgeted(news, predict, labels=("a", "b"))
+
+
+def test_upper_case_of_every_character_on_its_own(spark):
+    import duckdb
+
+    texts = [*[c for c in map(chr, range(1, 0x10000)) if c.upper() != c], "Große Straße", "ein ﬁnger, ŉ ᾳᾈ ßß", "ﬁ", "aﬀ\nb", "", None]
+    got = [r.u for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(upper_each("t").alias("u")).collect()]
+    want = duckdb.execute("SELECT upper(t) FROM (SELECT unnest($1::VARCHAR[]) AS t)", [texts]).fetchall()
+    assert [(t, g) for t, g, (w,) in zip(texts, got, want) if g != w] == []
+    assert [upper_word(t) for t in texts[:-1]] == got[:-1]
+
+
+def test_tags_of_a_sharp_s(spark):
+    rows = [(0, "Waßer", "die Strasse"), (1, "was", "Straße"), (2, "ﬁn", "")]
+    df = spark.createDataFrame(rows, "id int, Headlines string, Description string")
+    words = spark.createDataFrame([("STRASSE", 1, "S"), ("STRAẞE", 2, "Z"), ("FIN", 3, "F")], "word string, rank int, Ticker string")
+    assert {r.id: r.Ticker for r in tag_by_substring(df, words, "id").collect()} == {0: "S", 1: "Z"}
+    assert {r.id: r.Ticker for r in tag_by_dictionary(df, words, "id").collect()} == {0: "S", 1: "Z"}
+    tags = df.select(tag_entity("Headlines", keywords={"E4": ("WAS",), "Z": ("waß",)}).alias("t")).collect()
+    assert [r.t for r in tags] == ["Z", "E4", None]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from signalspark.functions.clock import normalized_time
 from signalspark.functions.decay import ExponentialDecay, HalfLifeDecay, LinearDecay
-from signalspark.functions.text import clean_text, score_from_probs, softmax, tag_entity, text_key
+from signalspark.functions.text import clean_text, score_from_probs, softmax, tag_entity, text_key, upper_each
 from signalspark.operators import attribution, boosting, features as feat, indicators as ind, metrics
 from signalspark.operators import models as mod
 from signalspark.operators import scoring, tree_shap
@@ -118,7 +118,7 @@ def tag_dictionary(s: SparkSession, d: str) -> DataFrame:
 
 def tag_substring(s: SparkSession, d: str) -> DataFrame:
     """Tags by the long words of the benchmark passages, found anywhere in the documents."""
-    words = v.table(s, d, "benchmark").select(F.explode(F.split(F.upper("text"), r"[^\p{L}]+")).alias("word")).distinct()
+    words = v.table(s, d, "benchmark").select(F.explode(F.split(upper_each("text"), r"[^\p{L}]+")).alias("word")).distinct()
     size, code = F.length("word"), F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("int")
     dictionary = words.filter(size >= 8).select("word", code.alias("rank"), F.concat(F.lit("E"), size).alias("Ticker"))
     return tag_by_substring(v.document_news(s, d), materialize(dictionary, "keywords"), "doc_id").select("doc_id", "Ticker")
