@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from signalspark.functions.text import (
     NEGATIVE, NEUTRAL, POSITIVE, combined_text, lexicon_shares, score_from_probs, text_key)
 from signalspark.operators.joins import lookup_join
-from signalspark.storage import materialize
+from signalspark.storage import materialize, small_batches
 
 # Class columns of scored text, and texts per model call.
 CLASSES = (NEGATIVE, NEUTRAL, POSITIVE)
@@ -134,14 +134,16 @@ def score_texts(news: DataFrame, make_predict_fn: Callable, labels: Sequence[str
     With ``budget`` batches have a bounded padded size instead of ``batch_size`` texts.
 
     The scores are written before the join, so a lost executor does not run the
-    model again. A text copied a million times joins through a salted key.
+    model again; Python gets ``TEXT_ROWS`` texts at once. A text copied a million
+    times joins through a salted key.
     """
     texted = with_text(news)
     if budget is None:
         scored = score_distinct(distinct_texts(texted), make_predict_fn, labels, batch_size=batch_size)
     else:
         scored = score_budgeted(distinct_texts(texted), make_predict_fn, labels, budget=budget)
-    scores = materialize(scored.drop("combined_text"), "scores")
+    with small_batches(news.sparkSession):
+        scores = materialize(scored.drop("combined_text"), "scores")
     return (lookup_join(texted, scores, ["text_key"], "inner", salt_by, **join_limits)
             .drop("combined_text", "text_key"))
 
@@ -184,16 +186,18 @@ def append_scores(todo: DataFrame, make_predict_fn: Callable, path: str, version
                   labels: Sequence[str] = CLASSES, replace: bool = False) -> None:
     """Score ``todo`` into the store; ``replace`` drops the older scores of these texts in this version."""
     fresh = score_distinct(todo, make_predict_fn, labels).drop("combined_text").withColumn("model_version", F.lit(version))
+    spark = todo.sparkSession
     if replace:
-        spark = todo.sparkSession
-        fresh = materialize(fresh, "scores")
+        with small_batches(spark):
+            fresh = materialize(fresh, "scores")
         others = read_scores(spark, path).filter(F.col("model_version") == version).join(
             fresh.select("text_key"), "text_key", "left_anti")
         # the partition is read and written, so its new content is complete before it is replaced
         fresh = materialize(fresh.unionByName(others), "scores")
-    (fresh.write
-     .mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("model_version").parquet(path))
+    with small_batches(spark):
+        (fresh.write
+         .mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("model_version").parquet(path))
 
 
 def score_with_store(news: DataFrame, make_predict_fn: Callable, path: str, version: str,

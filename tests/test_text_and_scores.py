@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from signalspark.functions.text import DEFAULT_KEYWORDS, clean_text, combined_text, softmax, tag_entity, upper_each, upper_word
 from signalspark.operators import scoring
 from signalspark.operators.tagging import tag_by_dictionary, tag_by_substring
+from signalspark.storage import ARROW_ROWS_CONF, TEXT_ROWS
 from signalspark.streaming.scores import follow_news
 
 GOOD, BAD = ("gain", "win"), ("loss",)
@@ -180,3 +181,24 @@ def test_tags_of_a_sharp_s(spark):
     assert {r.id: r.Ticker for r in tag_by_dictionary(df, words, "id").collect()} == {0: "S", 1: "Z"}
     tags = df.select(tag_entity("Headlines", keywords={"E4": ("WAS",), "Z": ("waß",)}).alias("t")).collect()
     assert [r.t for r in tags] == ["Z", "E4", None]
+
+
+@pytest.mark.parametrize("sizes", [{"budget": 1 << 40}, {"batch_size": 1 << 20}])
+def test_workers_hold_a_bounded_number_of_texts(spark, tmp_path, sizes):
+    rows = [(k, f"gain {k}", None, datetime(2024, 1, 1)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id int, Headlines string, Description string, Time timestamp").coalesce(1)
+    lexicon = scoring.lexicon_predict_fn(GOOD, BAD)
+
+    def make():
+        predict = lexicon()
+
+        def run(texts):
+            assert len(texts) <= TEXT_ROWS
+            return predict(texts)
+
+        return run
+
+    before = spark.conf.get(ARROW_ROWS_CONF)
+    assert scoring.score_texts(df, make, **sizes).filter("positive = 0.5").count() == 3000  # (1 + 1) / (1 + 3)
+    scoring.append_scores(scoring.distinct_texts(scoring.with_text(df)), lexicon, str(tmp_path / "store"), "v")
+    assert spark.conf.get(ARROW_ROWS_CONF) == before and int(before) > TEXT_ROWS
