@@ -97,9 +97,10 @@ def score_budgeted(texts: DataFrame, make_predict_fn: Callable, labels: Sequence
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make_predict_fn()
         for batch in batches:
-            held = np.array(batch.column(text).to_pylist(), object)
             lengths = batch.column("_length").to_numpy(zero_copy_only=False)
-            parts = [np.asarray(predict(held[part]), float) for part in budget_batches(np.nan_to_num(lengths), budget)]
+            # only the texts of one call are Python strings
+            parts = [np.asarray(predict(np.array(batch.column(text)[part].to_pylist(), object)), float)
+                     for part in budget_batches(np.nan_to_num(lengths), budget)]
             if parts:
                 found = np.concatenate(parts)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(found[:, i]) for i in range(len(labels))]],
