@@ -22,6 +22,8 @@ from signalspark.storage import materialize, work_dir
 # Settings of the boosted trees and the logistic regression.
 TREES, DEPTH, RATE, SEED = 100, 5, 0.1, 42
 PARALLEL_FITS = 10
+#: Training rows of a task of a fit. A fit is thousands of small jobs, so more tasks than its rows need only cost time.
+FIT_ROWS = 100_000
 
 
 def boosted_trees(n_train: int = 0, **overrides) -> GBTClassifier:
@@ -72,7 +74,8 @@ def fit_per_fold(rows: DataFrame, make_estimator: Callable[[int], Estimator],
     """One MLlib model per ``model`` id of the training rows.
 
     The models are independent jobs submitted from a few driver threads, as
-    MLlib's own cross-validator does; each fit is distributed over its rows.
+    MLlib's own cross-validator does; each fit is distributed over its rows,
+    ``FIT_ROWS`` in a task, however many files the source tables came in.
     Boosting cuts its lineage every few trees in the shared checkpoint folder.
     """
     context = rows.sparkSession.sparkContext
@@ -85,13 +88,18 @@ def fit_per_fold(rows: DataFrame, make_estimator: Callable[[int], Estimator],
     vectors = train.select("model", "label", array_to_vector("x").alias("features"))
 
     def fit(model: str) -> tuple[str, Model]:
-        mine = vectors.filter(F.col("model") == model).drop("model")
+        mine = vectors.filter(F.col("model") == model).drop("model").coalesce(fit_tasks(sizes[model]))
         return model, make_estimator(sizes[model]).fit(mine)
 
     with ThreadPool(min(parallel, max(1, len(sizes)))) as pool:
         return dict(pool.map(fit, sorted(sizes)))
 
 
+def fit_tasks(rows: int) -> int:
+    """Tasks of each job of a fit over so many rows."""
+    return max(1, -(-rows // FIT_ROWS))
+
+
 def predict_per_fold(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
     """Test rows with the prediction of their own fold's model."""
     test = rows.filter(F.col("role") == TEST).withColumn("features", array_to_vector("x"))

@@ -231,3 +231,16 @@ def test_top_features_with_a_constant_one(spark):
     # as ORDER BY importance DESC in SQL: NaN is the largest
     assert [r.feature for r in top] == ["flat", "b"] and math.isnan(top[0].importance)
     assert top[1].importance == pytest.approx(1.0)
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
+    class Tasks:
+        def fit(self, df):
+            return df.rdd.getNumPartitions(), df.count()
+
+    rows = spark.createDataFrame([(f"m{k % 2}", "train", k % 3, [float(k)]) for k in range(600)], "model string, role string, y int, x array<double>")
+    rows = rows.repartition(12)  # as many files
+    assert mod.fit_per_fold(rows, lambda n: Tasks()) == {"m0": (1, 300), "m1": (1, 300)}
+    monkeypatch.setattr(mod, "FIT_ROWS", 100)
+    assert [mod.fit_tasks(n) for n in (0, 1, 100, 101, 1000)] == [1, 1, 1, 2, 10]
+    assert mod.fit_per_fold(rows, lambda n: Tasks()) == {"m0": (3, 300), "m1": (3, 300)}
