@@ -36,6 +36,8 @@ SAMPLE_DOCS = 20_000
 COMMON_WORDS, COMMON_BYTES = 1 << 18, 32
 #: Longer words that are handed out, and their length; above it a word is encoded once per document.
 LONG_WORDS, LONG_BYTES = 1000, 4096
+#: Sampled texts, characters of each and bytes of the compressor's dictionary, and its level; results do not depend on them.
+PHRASE_DOCS, PHRASE_CHARS, PHRASE_BYTES, PACK_LEVEL = 4000, 8192, 1 << 19, 6
 NO_ID = -(1 << 63)
 #: Words that a task holds before it hands them on.
 HELD_WORDS = 150_000
@@ -101,13 +103,33 @@ def _encode_placed(ranks, pattern: str):
     return step
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(phrases):
     """Rows with their text compressed, for the shuffle."""
-    for batch in batches:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        keep = [c for c in batch.schema.names if c != "text"]
-        texts = pa.array([squeeze((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], names=[*keep, "text"])
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=_dictionary(phrases.value)).compress
+        for batch in batches:
+            keep = [c for c in batch.schema.names if c != "text"]
+            texts = pa.array([squeeze((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], names=[*keep, "text"])
+    return step
+
+
+def _dictionary(phrases: bytes) -> zstandard.ZstdCompressionDict | None:
+    if not phrases:
+        return None
+    found = zstandard.ZstdCompressionDict(phrases)
+    found.precompute_compress(level=PACK_LEVEL)
+    return found
+
+
+def common_phrases(base: DataFrame) -> bytes:
+    """A dictionary for the compressor, from the heads of some sampled texts; empty if they are too few or too short."""
+    sampled = base.sample(min(1.0, PHRASE_DOCS / max(base.count(), 1)), seed=7)
+    heads = sampled.select(F.substring("text", 1, PHRASE_CHARS).alias("text")).limit(2 * PHRASE_DOCS).toArrow()
+    try:
+        return zstandard.train_dictionary(PHRASE_BYTES, [h.encode() for h in heads.column("text").to_pylist()]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
 def _rare(common, pattern: str):
@@ -151,13 +173,13 @@ def filled(words: list[str], known: dict[str, bytes], rare: list[bytes] | None,
     return b"".join(parts)
 
 
-def _assemble(common, pattern: str, tokens, ranks):
+def _assemble(common, pattern: str, tokens, ranks, phrases):
     """Ids of each document, common and rare words by position, and the bytes that they decode to."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = regex.compile(pattern).findall, common.value
         code = cache(lambda: _coder(ranks.value, pattern))
         table, ends = tokens.value
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(phrases.value)).decompress
         for batch in batches:
             all_ids, all_bytes = [], []
             rare = batch.column("rare")
@@ -211,15 +233,18 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)
     common = spark.sparkContext.broadcast(common_words(base, shared, pattern))
-    # rows of one id are mostly told apart by 32 bits; where they are not, ``filled`` sees it
-    keyed = base.withColumn("digest", F.hash("text"))
+    phrases = spark.sparkContext.broadcast(common_phrases(base))
+    # rows without an id are mostly told apart by 32 bits, the few that repeat an id by 8, as the
+    # digest is shuffled with every word; where they are not, ``filled`` sees it
+    digest = F.hash("text")
+    keyed = base.withColumn("digest", F.when(F.col("id") == NO_ID, digest).otherwise(digest.bitwiseAND(255)))
     rare = keyed.mapInArrow(_rare(common, pattern), "id long, digest int, place int, word string")
     apart = F.when(F.octet_length("word") > LONG_BYTES, F.col("digest"))
     back = (rare.repartition("word", apart).sortWithinPartitions("word")
             .mapInArrow(_encode_placed(shared, pattern), "id long, digest int, part binary"))
     # flat rows are smaller to shuffle than lists; documents are then dealt alike
     listed = back.repartition("id", "digest").groupBy("id", "digest").agg(F.collect_list("part").alias("rare"))
-    packed = keyed.mapInArrow(_pack, "id long, digest int, text binary")
+    packed = keyed.mapInArrow(_pack(phrases), "id long, digest int, text binary")
     whole = packed.join(listed, ["id", "digest"], "left")
     size = max(ranks.values(), default=-1) + 1
     by_id = [b""] * size
@@ -228,7 +253,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     tokens = spark.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8),
                                            np.concatenate([[0], np.cumsum([len(t) for t in by_id], dtype=np.int64)])))
     done = whole.select("id", "text", "rare").mapInArrow(
-        _assemble(common, pattern, tokens, shared), "id long, ids binary, decoded binary")
+        _assemble(common, pattern, tokens, shared, phrases), "id long, ids binary, decoded binary")
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "ids", "decoded")
 
 
