@@ -74,8 +74,14 @@ def _counted(held: Counter) -> pa.RecordBatch:
 def _coder(ranks: dict[bytes, int], pattern: str):
     import tiktoken
     encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    kind = _id_kind(max(ranks.values(), default=-1) + 1)
     # a word is one match of the pattern, alone as in its text
-    return lambda word: np.array(encode(word), "<u4").tobytes()
+    return lambda word: np.array(encode(word), kind).tobytes()
+
+
+def _id_kind(size: int) -> str:
+    """Ids of words on their way: two bytes if all ``size`` tokens fit."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _encode(ranks, pattern: str):
@@ -179,15 +185,16 @@ def _assemble(common, pattern: str, tokens, ranks, phrases):
         split, known = regex.compile(pattern).findall, common.value
         code = cache(lambda: _coder(ranks.value, pattern))
         table, ends = tokens.value
+        kind = _id_kind(len(ends) - 1)
         unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(phrases.value)).decompress
         for batch in batches:
             all_ids, all_bytes = [], []
             rare = batch.column("rare")
             for row, packed in enumerate(batch.column("text")):
                 text = unpack(packed.as_py()).decode()
-                ids = filled(split(text), known, rare[row].as_py(), lambda word: code()(word))
-                all_ids.append(ids)
-                all_bytes.append(_decoded(np.frombuffer(ids, "<u4"), table, ends))
+                ids = np.frombuffer(filled(split(text), known, rare[row].as_py(), lambda word: code()(word)), kind).astype("<u4")
+                all_ids.append(ids.tobytes())
+                all_bytes.append(_decoded(ids, table, ends))
             keep = [c for c in batch.schema.names if c not in ("text", "rare")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(all_ids, pa.binary()), pa.array(all_bytes, pa.binary())],

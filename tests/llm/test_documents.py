@@ -590,3 +590,28 @@ def test_stages_on_empty_tables_and_clashing_names(spark, docs, no_docs, name, s
         assert got.columns == wide.columns
         got = got.select(*COLUMNS)
     assert Counter(tuple(r) for r in got.collect()) == plain
+
+
+@pytest.mark.parametrize("size", [300, 1 << 16, (1 << 16) + 1])
+def test_bpe_ids_beyond_two_bytes(spark, tmp_path, monkeypatch, size):
+    top = size - 1
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": top}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(b) + b" " + str(r).encode() for b, r in ranks.items()))
+    for common in (0, 10):  # all words shuffled, or none
+        monkeypatch.setattr(bpe, "COMMON_WORDS", common)
+        rows = spark.createDataFrame([(1, "ab c ab"), (2, ""), (3, None)], "doc_id long, text string")
+        got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in bpe.encoded(rows, str(path), r"\w+|\s+").collect()}
+        assert got == {1: ([top, 32, 99, 32, top], b"ab c ab"), 2: ([], b""), 3: ([], b"")}
+
+
+def test_bpe_parts_and_texts_are_small_to_shuffle(spark):
+    texts = [f"the quick brown fox {k} jumps over the lazy dog and {k * 7} runs away" * 3 for k in range(3000)]
+    base = spark.createDataFrame([(t,) for t in texts], "text string")
+    phrases = bpe.common_phrases(base)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts[:100])], names=["text"])
+    packed = [b.as_py() for out in bpe._pack(spark.sparkContext.broadcast(phrases))([batch]) for b in out.column("text")]
+    plain = bpe.zstandard.ZstdCompressor(level=1).compress
+    assert sum(map(len, packed)) < 0.8 * sum(len(plain(t.encode())) for t in texts[:100])
+    assert bpe.common_phrases(base.limit(1)) == b""
+    assert len(bpe._coder({bytes([k]): k for k in range(256)}, r"\w+")("ab")) == 4
