@@ -114,6 +114,25 @@ def test_short_lines_with_one_edit(spark):
     assert removed_of(spark, texts) == {1: [0], 3: [0], 5: [0]}
 
 
+def test_lines_write_no_texts_or_sets(spark, monkeypatch):
+    """What is written grows with the number of lines, not with their characters."""
+    rng, written = np.random.default_rng(8), []
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 4000)) for _ in range(20)]
+    texts += [t[:2000] + "#" + t[2000:] for t in texts]
+    plain = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: written.append(plain(df, name)) or written[-1])
+    assert removed_of(spark, texts) == {k: [0] for k in range(20, 40)}
+    assert all(t not in ("string", "binary") and (t != "array<bigint>") for df in written for _, t in df.dtypes)
+
+
+def test_line_shingles_by_place(spark):
+    """The shingles cut from the coded line are those of the definition."""
+    for line in ["a", "abcd", "abcde", "abcdef", "日本語の行です\r", "\U0001f600 and more of it", "aaaaaaaaaa", "é" * 7]:
+        row = spark.createDataFrame([(line,)], "line string").select("line", line_dedup.coded("line").alias("code"))
+        cut = F.transform(line_dedup.starts("code"), lambda k: F.substr(F.col("code"), k, F.lit(4 * line_dedup.LENGTH)))
+        assert {bytes(c).decode("utf-32-be") for c in row.select(cut).first()[0]} == plain_shingles(line)
+
+
 def test_personal_data(docs, rows, no_docs):
     field = pii.train(docs)
     got = {(r.doc_id, r.base_sha256): r for r in pii.personal_data(docs, field=field).collect()}
