@@ -133,6 +133,34 @@ def test_line_shingles_by_place(spark):
         assert {bytes(c).decode("utf-32-be") for c in row.select(cut).first()[0]} == plain_shingles(line)
 
 
+def test_signatures_in_blocks(spark):
+    """Lines of every length around a block have the least hash of all their shingles, none beyond their end."""
+    lines = ["日本語の行abcdefghijklmnopqrstuvwxyz0123456789"[:n] for n in range(1, 30)] * 2
+    table = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h", F.xxhash64("line"))
+    keyed = {r.h: r for r in line_dedup.band_keys(table).collect()}
+    for line, h in {(r.line, r.h) for r in table.collect()}:
+        pieces = spark.createDataFrame([(p.encode("utf-32-be"),) for p in plain_shingles(line)], "p binary")
+        high = [r[0] >> 32 for r in pieces.select(F.xxhash64("p")).collect()]
+        codes = [(i << 27) - (1 << 32 if i >= 16 else 0) for i in range(line_dedup.BANDS * line_dedup.ROWS)]
+        least = [min(x ^ c for x in high) % 256 for c in codes]
+        assert [keyed[h][f"s{k}"] >> 8 * i & 255 for k in range(line_dedup.ROWS) for i in range(line_dedup.BANDS)] == least
+        assert keyed[h].copies == 2
+
+
+def test_line_filter_is_small(spark):
+    """The filter keeps every wanted line, and what is broadcast is a row per 64 slots at most."""
+    rows = spark.range(300_000).select(F.xxhash64("id").alias("h"), "id")
+    wanted = rows.filter("id % 3 = 0").select("h")
+    kept = line_dedup.among(rows, wanted)
+    assert kept.columns == ["h", "id"]
+    assert kept.filter("id % 3 = 0").count() == 100_000 and kept.count() < 110_000
+    every = spark.range(1 << 17).select(F.col("id").alias("h"))
+    kept = line_dedup.among(every, every)
+    assert kept.count() == 1 << 17
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "_word" in plan
+
+
 def test_personal_data(docs, rows, no_docs):
     field = pii.train(docs)
     got = {(r.doc_id, r.base_sha256): r for r in pii.personal_data(docs, field=field).collect()}
