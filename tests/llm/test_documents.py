@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -161,6 +162,24 @@ def test_line_filter_is_small(spark):
     assert "bit_or" in plan and "_word" in plan
 
 
+def test_written_tables_free_their_shuffles(spark):
+    """Shuffle files of a written table are gone when it is written, and the setting is as before."""
+    import glob
+
+    from signalspark import storage
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    count = lambda: len(glob.glob(f"{folder}/*/shuffle_*.data"))
+    before, setting = count(), spark.conf.get(storage.CLEANUP_CONF, None)
+    table = storage.materialize(spark.range(20_000).groupBy((F.col("id") % 7000).alias("k")).count().repartition(3), "freed")
+    for _ in range(50):
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before and table.count() == 7000
+    assert spark.conf.get(storage.CLEANUP_CONF, None) == setting
+
+
 def test_personal_data(docs, rows, no_docs):
     field = pii.train(docs)
     got = {(r.doc_id, r.base_sha256): r for r in pii.personal_data(docs, field=field).collect()}
